@@ -32,6 +32,7 @@ TOKEN = r"\w+|[^\w\s]+"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for every pair of equal tokens, whatever they are: unseen words that repeat share it.
 AGAIN = np.uint64(0xD1B54A32D192ED03)
+APART = np.uint64(0xAEF17502108EF2D9)
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ def featurizer(bits: int):
         one = np.fromiter(map(digest, found), np.uint64, len(found))
         two = (one[:-1] * ODD) ^ (one[1:] + (one[:-1] >> np.uint64(29)))
         two[one[:-1] == one[1:]] = AGAIN
-        apart = np.full(np.count_nonzero(one[:-2] == one[2:]), AGAIN + ODD)
+        apart = np.full(np.count_nonzero(one[:-2] == one[2:]), APART)
         places, counts = np.unique(np.concatenate([one * ODD, two * ODD, apart * ODD]) >> shift, return_counts=True)
         values = 1 + np.log(counts)
         return places.astype(np.int64), values / np.sqrt(values @ values)
