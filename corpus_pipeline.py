@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orgpanel.llm.common import without
 from orgpanel.llm.decontam import DecontamConfig, clean_documents
 from orgpanel.llm.jaccard import JaccardConfig, jaccard_components
 from orgpanel.llm.mixing import MixConfig, mix_sources
@@ -16,21 +17,14 @@ from orgpanel.llm.quality import LEARN, QualityConfig, fit, score
 from orgpanel.llm.token_codes import TokenConfig, read_tokens, write_tokens
 from orgpanel.storage import materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in ids."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. Null doc_ids are judged by text like all others."""
     cfg = QualityConfig()
     weights = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), cfg, LEARN)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rejected = materialize(score(keyed, weights, cfg).where("predicted = 0"), "rejected")
-    return _without(docs, rejected)
+    rejected = materialize(score(keyed, weights, cfg).where("predicted = 0").select("doc_id").distinct(), "rejected")
+    return without(docs, rejected)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +33,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat a doc_id are one document and the first stays; rows without a doc_id stay.
     """
     found = jaccard_components(docs, JaccardConfig(n=5, percent=80))
-    dropped = materialize(found.where("component_id != doc_id").select("doc_id"), "copies")
+    dropped = materialize(found.where("component_id != doc_id").select("doc_id").distinct(), "copies")
     repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     repeated = materialize(repeated, "repeated")
-    kept = _without(docs, dropped)
+    kept = without(docs, dropped)
     if repeated.isEmpty():
         return kept
     again = kept.join(repeated, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return _without(kept, repeated).unionByName(again)
+    return without(kept, repeated).unionByName(again)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

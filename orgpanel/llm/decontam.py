@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgpanel.llm.common import small_side, without
 from orgpanel.storage import materialize
 
 
@@ -61,7 +62,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamC
     hits = materialize(hits, "hits")
 
     by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))
-    source = docs.where("doc_id is not null").select("doc_id", "text")
+    hit_ids = materialize(hits.select("doc_id").distinct(), "hit_ids")
+    source = docs.where("doc_id is not null").select("doc_id", "text").join(small_side(hit_ids), "doc_id", "left_semi")
     found = by_doc.join(source, "doc_id").select("doc_id", "hits", words_of(F.col("text")).alias("w"))
     # only the stretch of the text beside the item goes on with each hit
     tried = found.select("doc_id", F.explode("hits").alias("hit"), "w").select("doc_id", "hit.item_id", "hit.shift", "w")
@@ -81,5 +83,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamC
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
     """The rows of docs without a leak, all columns kept; rows with a null doc_id are kept."""
-    bad = materialize(leaks(docs, benchmark, cfg).select("doc_id").distinct(), "leaks")
-    return docs.join(bad, "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    return without(docs, materialize(leaks(docs, benchmark, cfg).select("doc_id").distinct(), "leaks"))

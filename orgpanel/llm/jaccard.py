@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orgpanel.llm.common import small_side
 from orgpanel.operators.components import connected_components
 from orgpanel.storage import discard, materialize
 
@@ -275,7 +276,9 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) ->
     sketch = spark.sparkContext.broadcast(count_sketch(docs, cfg))
     heads = materialize(prefixes(docs, sketch, cfg), "prefixes")
     classes = heads.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    chosen = heads.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    members = materialize(heads.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", "rep"), "members")
+    copies = materialize(members.where("doc_id != rep").select("doc_id").distinct(), "copies")
+    chosen = heads.where("n > 0 and doc_id is not null").join(small_side(copies), "doc_id", "left_anti")
 
     clusters = materialize(connected_components(_candidates(chosen, cfg)).toDF("doc", "cluster"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
@@ -283,7 +286,8 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) ->
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     placed = clusters.join(sizes, "cluster").select("doc", "cluster", block.alias("block"), "blocks")
     texts = docs.withColumnRenamed("doc_id", "doc")
-    rows = placed.join(texts, "doc").select("cluster", "block", "doc", F.lit(False).alias("probe"), "text", "blocks")
+    placed = small_side(materialize(placed, "placed"))
+    rows = texts.join(placed, "doc").select("cluster", "block", "doc", F.lit(False).alias("probe"), "text", "blocks")
     rows = materialize(rows, "blocks")
     links = materialize(trie_links(rows.drop("blocks"), sketch, cfg), "links")
 
@@ -300,6 +304,6 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) ->
         links = links.unionAll(more.where("src != dst"))
 
     joined = materialize(connected_components(links).toDF("rep", "component_id"), "components")
-    discard(rows)
-    members = heads.select("doc_id", "n", "digest").join(classes, "digest", "left")
+    for done in (rows, heads):
+        discard(done)
     return members.join(joined, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
