@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def shingles(text: Column, k: int = 2) -> Column:
@@ -43,7 +44,7 @@ def simhash_native(features: Column, weights: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def simhash(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Signature of a name: xxHash64 (seed 0) of its 2-shingles and words, decaying weights, 32-bit sums in order."""
     import xxhash
