@@ -32,12 +32,17 @@ CORP, NONPROFIT, INDIVIDUAL = 0, 1, 2
 ASSIGN, LICENSE, MERGER, OTHER = 0, 1, 2, 3
 
 
+def strip(text: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def weak_name(name: Column) -> Column:
     """Lower case, marks to single blanks."""
     out = F.lower(name)
     for pattern in (r"'s|\(.*\)|\.", PUNCT, r"[ ]{2,}"):
         out = F.regexp_replace(out, pattern, " ")
-    return F.trim(out)
+    return strip(out)
 
 
 #: (pattern, replacement), in the order in which they must run.
@@ -62,7 +67,7 @@ def strong_name(name: Column) -> Column:
     out = F.lower(name)
     for pattern, to in STRONG:
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    return strip(out)
 
 
 def whole_word(words: str) -> str:

@@ -178,7 +178,7 @@ def panel_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.firm_index(years, panel.firm_life(years, _info(spark, sf_dir)))
 
 
-WEAK_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '''s|\(.*\)|\.', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '[ ]{{2,}}', ' ', 'g'), ' ')"
+WEAK_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '''s|\(.*\)|\.', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '[ ]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 LINE_SQL = "SELECT doc_id, string_split(text, chr(10))[1] AS name FROM documents WHERE text IS NOT NULL"
 
 
@@ -198,7 +198,7 @@ def _strong_sql(column: str) -> str:
         pattern = pattern.replace(names.EDGE, r"\b").replace("'", "''")
         to = to.replace("$", "\\")
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return f"trim({out}, ' ')"
+    return rf"regexp_replace({out}, '^\s+|\s+$', '', 'g')"
 
 
 @query(f"SELECT p_partkey, {_strong_sql('name')} AS name FROM (SELECT p_partkey, p_name || ' a & b c-d co., the ' || p_type || ' inc.' AS name FROM part UNION ALL SELECT p_partkey, p_name || ' x y z holdings ltd' FROM part)")
@@ -276,10 +276,10 @@ def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("name", similarity.simhash_native(features, weights).alias("sig"))
 
 
-SIGN_SQL = f"""
+SIGN_SQL = rf"""
     WITH n AS ({NAME_SQL}), f AS (
         SELECT name, unnest(s) AS g, unnest(range(0, len(s))) AS i, len(s) AS c FROM (SELECT name, {SHINGLE_SQL} AS s FROM n WHERE name <> '')
-        UNION ALL SELECT name, unnest(w), unnest(range(0, len(w))), len(w) FROM (SELECT name, string_split(name, ' ') AS w FROM n WHERE name <> '')),
+        UNION ALL SELECT name, unnest(w), unnest(range(0, len(w))), len(w) FROM (SELECT name, regexp_extract_all(name, '\S+') AS w FROM n WHERE name <> '')),
     h AS (SELECT name, ('0x' || substr(md5(g), 1, 16))::UBIGINT AS h, CAST(round((CASE WHEN c = 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - i / (c - 1) END) * 1000000) AS BIGINT) AS w FROM f),
     b AS (SELECT name, j, sum(CASE WHEN (h >> j) & 1 = 1 THEN w ELSE -w END) AS v FROM h, range(0, 64) r(j) GROUP BY name, j),
     sig AS (SELECT name, CAST(sum(CASE WHEN v >= 0 THEN (1::UBIGINT << j)::HUGEINT ELSE 0 END) AS HUGEINT) AS u FROM b GROUP BY name)
