@@ -37,7 +37,7 @@ class MixConfig:
     default: int = 2
     block_docs: int = 16
     max_sources: int = 10_000
-    range_docs: int = 20_000
+    range_docs: int = 1_000
 
 
 def plan_periods(blocks: dict[str, int], weight: dict[str, int]) -> list[tuple[int, int, int, dict[str, int]]]:

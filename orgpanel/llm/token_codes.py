@@ -240,4 +240,5 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(codes.document(k).tobytes()) for k in range(len(docs))]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(base + starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition(F.xxhash64("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task for each file, up to a few thousand
+    return placed.repartition(min(max(1, manifest.count()), 4096), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
