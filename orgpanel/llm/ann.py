@@ -10,7 +10,7 @@ The candidates in those leaves are ranked by the exact inner product in double p
 have no structure to use; recall against brute force is measured in the tests.
 
 Equal vectors are one entry of the index with the ids that can be among the nearest of any query (the k + 1 smallest). A
-leaf with more entries than ``block`` is dealt in blocks.
+leaf with more entries than ``block`` is dealt in blocks, and blocks go to shards; a task holds one shard, and gives k rows a query.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, take no part, neither as query nor as candidate; null ids
 likewise; vectors of other lengths than most are left out (length as of the majority, ties to the longer); rows that repeat an id with the same vector
@@ -39,6 +39,7 @@ class AnnConfig:
     sample: int = 16_384
     reach: float = 1.6
     block: int = 4096
+    shard: int = 65_536
     seed: int = 7
 
 
@@ -92,16 +93,6 @@ class Forest:
         return out
 
 
-def _rank(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """The k best entries by score, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero(scores >= floor)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
-
-
 def nearest(vectors: DataFrame, query: str, cfg: AnnConfig = AnnConfig()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that ``query`` (a condition on vec_id) picks."""
     spark = vectors.sparkSession
@@ -141,40 +132,56 @@ def nearest(vectors: DataFrame, query: str, cfg: AnnConfig = AnnConfig()) -> Dat
         counts[r.tree, r.leaf] = r.c
     counted = spark.sparkContext.broadcast(counts)
 
+    # a leaf's block is known by one number; blocks are dealt in shards of about ``shard`` entries
+    leaves, blocks = 1 << forest.depth, int(-(-counts.max() // cfg.block))
+    shards = max(1, -(-int(counts.sum()) // cfg.shard))
+
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = counted.value
         for f in frames:
             for q, v in zip(f.vec_id, f.v):
                 found = shared.value.visit(np.array(v, np.float32), n, cfg.reach * count)
-                blocks = [(t, leaf, b) for t, leaf in found for b in range(-(-int(n[t, leaf]) // cfg.block))]
-                yield pd.DataFrame(blocks, columns=["tree", "leaf", "part"]).assign(query_id=q, v=[v] * len(blocks))
-
-    probes = rows.where(query).mapInPandas(search, "tree int, leaf long, part int, query_id long, v array<double>")
-
-    def blocks_of(n_column: str) -> str:
-        return f"cast(pmod(xxhash64(entry), cast(ceil({n_column} / {cfg.block}) as bigint)) as int)"
+                codes = np.array([(t * leaves + leaf) * blocks + b for t, leaf in found for b in range(-(-int(n[t, leaf]) // cfg.block))], np.int64)
+                own = [(int(k), codes[codes % shards == k]) for k in np.unique(codes % shards)]
+                yield pd.DataFrame({"shard": [k for k, _ in own], "query_id": q, "v": [v] * len(own), "codes": [c for _, c in own]})
 
+    probes = rows.where(query).mapInPandas(search, "shard long, query_id long, v array<double>, codes array<long>")
     per_leaf = placed.groupBy("tree", "leaf").agg(F.count("*").alias("c"))
-    index = placed.join(F.broadcast(per_leaf), ["tree", "leaf"]).withColumn("part", F.expr(blocks_of("c"))).drop("c")
+    part = f"pmod(xxhash64(entry), cast(ceil(c / {cfg.block}) as bigint))"
+    index = placed.join(F.broadcast(per_leaf), ["tree", "leaf"]).withColumn("code", F.expr(f"(tree * {leaves}L + leaf) * {blocks}L + {part}"))
+    index = index.select(F.expr(f"code % {shards}").alias("shard"), "code", "v", "ids")
 
     def rerank(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(x):
-            own = np.repeat(np.arange(len(x)), x.ids.map(len))
-            ids, base = np.concatenate(x.ids.tolist()).astype(np.int64), np.array(x.v.tolist())
-            every = q.v.tolist()
-            for lo in range(0, len(every), 256):
-                scores = np.array(every[lo : lo + 256]) @ base.T
-                for i, s in enumerate(scores):
-                    s, me = s[own], int(q.query_id.iloc[lo + i])
-                    s = np.where(ids == me, -np.inf, s)
-                    best = _rank(q, ids, s, cfg.k)
-                    best = best[ids[best] != me]
-                    out.append(pd.DataFrame({"query_id": me, "vec_id": ids[best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    by = ["tree", "leaf", "part"]
-    near = probes.groupBy(*by).cogroup(index.groupBy(*by)).applyInPandas(rerank, "query_id long, vec_id long, score double")
+        """The k best of each query among the shard's candidates, leaf by leaf: one product for all queries that visit it."""
+        if not len(q) or not len(x):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        x = x.sort_values("code", kind="stable")
+        base, ids, vectors, asked = np.array(x.v.tolist()), x.ids.tolist(), np.array(q.v.tolist()), q.query_id.to_numpy(np.int64)
+        codes, first = np.unique(x.code.to_numpy(), return_index=True)
+        last = np.append(first[1:], len(x))
+        visits = np.concatenate(q.codes.tolist())
+        by = np.repeat(np.arange(len(q)), q.codes.map(len))
+        order = np.argsort(visits, kind="stable")
+        visits, by = visits[order], by[order]
+        lo, hi = np.searchsorted(visits, codes), np.searchsorted(visits, codes, side="right")
+        out_q, out_e, out_s = [], [], []
+        for a, z, f, e in zip(lo, hi, first, last):
+            for at in range(a, z, 1024):
+                who = by[at : min(z, at + 1024)]
+                s = vectors[who] @ base[f:e].T
+                k = min(cfg.k + 1, e - f)  # the query itself may be among them
+                floor = np.partition(s, e - f - k, axis=1)[:, e - f - k]
+                i, j = np.nonzero(s >= floor[:, None])
+                out_q.append(who[i])
+                out_e.append(j + f)
+                out_s.append(s[i, j])
+        who, entry, score = np.concatenate(out_q or [[]]).astype(int), np.concatenate(out_e or [[]]).astype(int), np.concatenate(out_s or [[]])
+        many = np.array([len(i) for i in ids])
+        made = pd.DataFrame({"query_id": np.repeat(asked[who], many[entry]), "vec_id": np.concatenate([ids[i] for i in entry] or [[]]).astype(np.int64), "score": np.repeat(score, many[entry])})
+        made = made[made.query_id != made.vec_id].drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return made.groupby("query_id").head(cfg.k)
+
+    near = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = near.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.k)
+    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
