@@ -29,6 +29,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,9 +91,11 @@ class Encoder(dict):
         if ids is None:
             if piece[-1] in ".," and piece[:-1].isalpha():
                 return self[piece[:-1]] + self[piece[-1]]
-            if piece.isalpha() and max(piece) < "\u0100" and piece == piece.lower():
-                found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-                ids = pack_ids([t.id for t in found])
+            plain = piece.isascii()
+            if piece.isalpha() and (plain or max(piece) < "\u0100") and piece == piece.lower():
+                # letters of ASCII stand for themselves in the byte-level alphabet
+                word = piece if plain else piece.encode().decode("latin-1").translate(self.letters)
+                ids = pack_ids([t.id for t in self.model.tokenize(word)])
             else:
                 ids = pack_ids(self.whole.encode(piece, add_special_tokens=False).ids)
         self[piece] = ids
@@ -108,6 +111,12 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, limit: int) -> Encoder:
+    """One encoder for each Python worker: later tasks find the pieces of earlier ones."""
+    return Encoder(path, limit)
+
+
 def pack(docs: list[bytes]) -> bytes:
     """The file image for the ids (u32) of the documents."""
     starts = np.concatenate([[0], np.cumsum([len(d) // 4 for d in docs])]).astype("<u8")
@@ -195,7 +204,7 @@ def write_tokens(docs: DataFrame, cfg: TokenConfig = TokenConfig(), order: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder(path, cfg.cache)
+        part, encoder = TaskContext.get().partitionId(), encoder_of(path, cfg.cache)
         store, root = _store(folder)
         ids, held, size, seq = [], [], 0, 0
 
