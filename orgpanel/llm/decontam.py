@@ -84,3 +84,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamC
 def clean_documents(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
     """The rows of docs without a leak, all columns kept; rows with a null doc_id are kept."""
     return without(docs, materialize(leaks(docs, benchmark, cfg).select("doc_id").distinct(), "leaks"))
+
+
+def leak_sql(cfg: DecontamConfig = DecontamConfig()) -> str:
+    """The pairs of ``leaks`` in DuckDB's SQL; the words under a mask stand for their hash."""
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+    shortest = min(map(len, cfg.masks))
+
+    def seeds(table: str, key: str) -> str:
+        parts = []
+        for m, mask in enumerate(cfg.masks):
+            under = ", ".join(f"w[place + {k + 1}]" for k, c in enumerate(mask) if c == "1")
+            places = f"SELECT {key}, w, unnest(range(len(w) - {len(mask) - 1})) AS place FROM {table} WHERE len(w) >= {len(mask)}"
+            parts.append(f"SELECT {key}, place, concat_ws(' ', '{m}', {under}) AS h FROM ({places})")
+        return " UNION ALL ".join(parts)
+
+    return f"""
+        WITH items AS (SELECT DISTINCT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        texts AS (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL),
+        item_seeds AS ({seeds("items", "item_id")}),
+        text_seeds AS ({seeds("texts", "doc_id")}),
+        hits AS (SELECT DISTINCT t.doc_id, s.item_id, t.place - s.place AS shift FROM text_seeds t JOIN item_seeds s USING (h)),
+        held AS (
+            SELECT row_number() OVER () AS n, doc_id, item_id, shift, x.w AS w, i.w AS iw, least(len(i.w), {cfg.window}) AS width
+            FROM hits JOIN texts x USING (doc_id) JOIN items i USING (item_id)),
+        flags AS (SELECT n, doc_id, item_id, width, k, CASE WHEN k + shift >= 0 AND w[k + shift + 1] = iw[k + 1] THEN 1 ELSE 0 END AS f
+            FROM (SELECT *, unnest(range(len(iw))) AS k FROM held)),
+        sums AS (SELECT doc_id, item_id, width, k, sum(f) OVER (PARTITION BY n ORDER BY k ROWS BETWEEN {cfg.window - 1} PRECEDING AND CURRENT ROW) AS matched FROM flags),
+        close AS (SELECT doc_id, item_id, matched, width AS compared FROM sums
+            WHERE k >= width - 1 AND 100 * matched >= {cfg.percent} * width AND width >= {shortest}),
+        same AS (SELECT doc_id, item_id, len(i.w) AS matched, len(i.w) AS compared FROM texts x JOIN items i ON x.w = i.w WHERE len(i.w) BETWEEN 1 AND {shortest - 1}),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, compared DESC) AS r
+            FROM (SELECT * FROM close UNION ALL SELECT * FROM same))
+        SELECT doc_id, item_id, CAST(matched AS INTEGER) AS matched, CAST(compared AS INTEGER) AS compared FROM ranked WHERE r = 1"""

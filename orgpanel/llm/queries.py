@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orgpanel.llm.ann import nearest
 from orgpanel.llm.chat import chat_digests
-from orgpanel.llm.decontam import leaks
+from orgpanel.llm.decontam import leak_sql, leaks
 from orgpanel.llm.jaccard import jaccard_components
 from orgpanel.llm.license_scan import license_matches, license_sql
 from orgpanel.llm.mixing import mix_order
@@ -92,4 +92,4 @@ CHAT_SQL = r"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": CHAT_SQL, "op5_licenses": license_sql()}
+    return {"op2_decontaminate": leak_sql(), "op4_chat": CHAT_SQL, "op5_licenses": license_sql()}

@@ -333,7 +333,7 @@ def test_pipeline(spark, docs, texts):
 @pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = llm_queries.queries()[name](spark, SF)
     found = con.execute(llm_queries.oracle_sql()[name])
