@@ -30,6 +30,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,8 @@ class Encoder(dict):
             self[""] = b""
         ids = self.old.get(piece)
         if ids is None:
-            if piece[-1] in ".," and piece[:-1].isalpha():
+            # a letter whose normal form ends in a mark would share a word with the point
+            if piece[-1] in ".," and normalize("NFC", piece[:-1]).lower().isalpha():
                 return self[piece[:-1]] + self[piece[-1]]
             plain = piece.isascii()
             if piece.isalpha() and (plain or max(piece) < "\u0100") and piece == piece.lower():
