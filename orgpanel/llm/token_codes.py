@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orgpanel.llm.common import small_side
 from orgpanel.storage import materialize, new_path
 
 MAGIC = b"DACT1\0\0\0"
@@ -236,9 +237,14 @@ def write_tokens(docs: DataFrame, cfg: TokenConfig = TokenConfig(), order: list
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files.
+
+    ``start`` adds up the tokens of the files before, in order of part and seq.
+    """
+    # the running sum is one task over a few integers for each file; ids of documents do not pass through it
     before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    placed = manifest.select("path", "doc_ids", F.coalesce(before, F.lit(0)).alias("base"))
+    bases = materialize(manifest.select("part", "seq", F.coalesce(before, F.lit(0)).alias("base")), "bases")
+    files = manifest.join(small_side(bases), ["part", "seq"]).select("path", "doc_ids", "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,4 +258,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(base + starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # a task for each file, up to a few thousand
-    return placed.repartition(min(max(1, manifest.count()), 4096), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(min(max(1, bases.count()), 4096), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
