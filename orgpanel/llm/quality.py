@@ -13,8 +13,8 @@ shuffles nothing.
 
 Edge cases: a null or empty text has no features and scores the bias alone; a null or missing
 label, or a label other than 0 and 1, is not learned from; several labels of one doc_id count as
-their minimum; with no usable label all weights are 0 and every score is 0.5; repeated rows are
-scored as often as they occur; columns beyond doc_id and text are ignored; a null doc_id is
+their minimum; with no usable label all weights are 0 and every score is 0.5; rows that repeat a
+doc_id are learned from once (the smallest text) and scored as often as they occur; columns beyond doc_id and text are ignored; a null doc_id is
 scored and counts as not held out.
 """
 
@@ -100,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = QualityConfig()
     known = known.where(learn) if learn is not None else known
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.max_train)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # rows that repeat a doc_id count once, so the sample stays bounded
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = featurizer(cfg.bits)
