@@ -132,9 +132,11 @@ def nearest(vectors: DataFrame, query: str, cfg: AnnConfig = AnnConfig()) -> Dat
         counts[r.tree, r.leaf] = r.c
     counted = spark.sparkContext.broadcast(counts)
 
-    # a leaf's block is known by one number; blocks are dealt in shards of about ``shard`` entries
+    # a leaf's block is known by one number; blocks are dealt in shards of about ``shard`` entries. The number is mixed first: most
+    # leaves may hold few blocks of those counted for the largest, and plain remainders would then meet in some shards only
     leaves, blocks = 1 << forest.depth, int(-(-counts.max() // cfg.block))
     shards = max(1, -(-int(counts.sum()) // cfg.shard))
+    mixed = f"code % 1073741824 * 2654435761 % 4294967296 div 1024 % {shards}"
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = counted.value
@@ -142,14 +144,15 @@ def nearest(vectors: DataFrame, query: str, cfg: AnnConfig = AnnConfig()) -> Dat
             for q, v in zip(f.vec_id, f.v):
                 found = shared.value.visit(np.array(v, np.float32), n, cfg.reach * count)
                 codes = np.array([(t * leaves + leaf) * blocks + b for t, leaf in found for b in range(-(-int(n[t, leaf]) // cfg.block))], np.int64)
-                own = [(int(k), codes[codes % shards == k]) for k in np.unique(codes % shards)]
+                at = codes % 1073741824 * 2654435761 % 4294967296 // 1024 % shards
+                own = [(int(k), codes[at == k]) for k in np.unique(at)]
                 yield pd.DataFrame({"shard": [k for k, _ in own], "query_id": q, "v": [v] * len(own), "codes": [c for _, c in own]})
 
     probes = rows.where(query).mapInPandas(search, "shard long, query_id long, v array<double>, codes array<long>")
     per_leaf = placed.groupBy("tree", "leaf").agg(F.count("*").alias("c"))
     part = f"pmod(xxhash64(entry), cast(ceil(c / {cfg.block}) as bigint))"
     index = placed.join(F.broadcast(per_leaf), ["tree", "leaf"]).withColumn("code", F.expr(f"(tree * {leaves}L + leaf) * {blocks}L + {part}"))
-    index = index.select(F.expr(f"code % {shards}").alias("shard"), "code", "v", "ids")
+    index = index.select(F.expr(mixed).alias("shard"), "code", "v", "ids")
 
     def rerank(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         """The k best of each query among the shard's candidates, leaf by leaf: one product for all queries that visit it."""
