@@ -12,7 +12,7 @@ DataFrame and SQL functions are used.
 
 Edge cases: null and empty texts and items have no words and never match; an item with
 fewer words than the shortest mask leaks only into a text with exactly the same words; repeated rows of
-a doc_id or an item_id count once; null ids are left out of the pairs; other columns are
+a doc_id or an item_id count once, and their different texts are all tried; null ids are left out of the pairs; other columns are
 ignored; an empty table on either side gives no pairs.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgpanel.llm.common import small_side, without
@@ -52,23 +52,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamC
     """(doc_id, item_id, matched, compared): each pair that leaks, with the equal words of its best stretch."""
     shortest = min(map(len, cfg.masks))
     items = benchmark.where("item_id is not null").select("item_id", words_of(F.col("text")).alias("w")).where("size(w) > 0").distinct()
-    items = materialize(items, "items")
-    item_seeds = items.select("item_id", F.explode(F.expr(_seed_array(cfg))).alias("s")).select("item_id", "s.h", F.col("s.at").alias("item_at"))
+    longest = F.max(F.size("w")).over(Window.partitionBy("item_id"))
+    items = materialize(items.withColumn("n", longest), "items")
+    item_seeds = items.select("item_id", "n", F.explode(F.expr(_seed_array(cfg))).alias("s")).select("item_id", "n", "s.h", F.col("s.at").alias("item_at"))
     if item_seeds.count() <= cfg.broadcast_seeds:
         item_seeds = F.broadcast(item_seeds)
     texts = docs.where("doc_id is not null").select("doc_id", words_of(F.col("text")).alias("w"))
     seeds = texts.select("doc_id", F.explode(F.expr(_seed_array(cfg))).alias("s")).select("doc_id", "s.h", F.col("s.at").alias("doc_at"))
-    hits = seeds.join(item_seeds, "h").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    hits = seeds.join(item_seeds, "h").select("doc_id", "item_id", "n", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     hits = materialize(hits, "hits")
 
-    by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))
+    by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "n", "shift")).alias("hits"))
     hit_ids = materialize(hits.select("doc_id").distinct(), "hit_ids")
     source = docs.where("doc_id is not null").select("doc_id", "text").join(small_side(hit_ids), "doc_id", "left_semi")
     found = by_doc.join(source, "doc_id").select("doc_id", "hits", words_of(F.col("text")).alias("w"))
     # only the stretch of the text beside the item goes on with each hit
-    tried = found.select("doc_id", F.explode("hits").alias("hit"), "w").select("doc_id", "hit.item_id", "hit.shift", "w")
-    flags = "transform(iw, (x, k) -> if(k + shift >= 0 and k + shift < size(w) and w[if(k + shift between 0 and size(w) - 1, k + shift, 0)] = x, 1, 0))"
-    held = tried.join(items.withColumnRenamed("w", "iw"), "item_id").select("doc_id", "item_id", F.expr(flags).alias("f"))
+    tried = found.select("doc_id", F.explode("hits").alias("hit"), "w")
+    beside = "slice(w, greatest(hit.shift, 0) + 1, hit.n + least(hit.shift, 0))"
+    tried = tried.select("doc_id", "hit.item_id", F.expr("least(hit.shift, 0)").alias("skip"), F.expr(beside).alias("part"))
+    flags = "transform(iw, (x, k) -> if(k + skip between 0 and size(part) - 1 and part[greatest(least(k + skip, size(part) - 1), 0)] = x, 1, 0))"
+    held = tried.join(items.select("item_id", F.col("w").alias("iw")), "item_id").select("doc_id", "item_id", F.expr(flags).alias("f"))
     width = f"least(size(f), {cfg.window})"
     best = f"array_max(transform(sequence(0, size(f) - {width}), i -> aggregate(slice(f, i + 1, {width}), 0, (a, x) -> a + x)))"
     close = held.select("doc_id", "item_id", F.expr(best).alias("matched"), F.expr(width).alias("compared"))
