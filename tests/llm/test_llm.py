@@ -51,6 +51,9 @@ def test_quality(spark, docs):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     again = quality.quality_scores(docs.repartition(3), labels).collect()
     assert Counter((r.doc_id, r.score) for r in got) == Counter((r.doc_id, r.score) for r in again)
+    often = docs.where("doc_id = 1").select(docs.columns).join(spark.range(50).drop("id"))
+    more = quality.quality_scores(docs.unionByName(often), labels).distinct().collect()
+    assert {(r.doc_id, r.score) for r in more} == {(r.doc_id, r.score) for r in got}
     assert {r.score for r in quality.quality_scores(docs, none_of(labels)).collect()} == {0.5}
     assert quality.quality_scores(none_of(docs), labels).count() == 0
 
@@ -154,7 +157,7 @@ def test_nearest(spark):
     bad = [(1000, None), (1020, [0.0] * 64), (1040, [float("nan")] * 64), (1060, [1.0] * 3), (1080, []), (1100, [None] * 64), (None, [1.0] * 64)]
     copies = v.where("vec_id = 40").select((F.col("vec_id") + 2000).alias("vec_id"), "embedding")
     rows = v.unionByName(spark.createDataFrame(bad, v.schema)).unionByName(copies).unionByName(v.where("vec_id = 7")).withColumn("rank", F.lit(1))
-    for cfg, least in ((ann.AnnConfig(leaf=32), 0.9), (ann.AnnConfig(leaf=32, block=16, reach=9.0), 1.0)):
+    for cfg, least in ((ann.AnnConfig(leaf=32), 0.9), (ann.AnnConfig(leaf=32, block=16, shard=400, reach=9.0), 1.0)):
         got = ann.nearest(rows, "vec_id % 20 = 0", cfg).collect()
         use = {r.vec_id: np.array(r.embedding, float) for r in v.unionByName(copies).collect()}
         ids = np.array(sorted(use))
