@@ -55,8 +55,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the token files, written in the order of the rows of docs."""
-    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
-    return read_tokens(write_tokens(placed, TokenConfig(), ["file_name", "row_index"]))
+    # part numbers of more than five digits do not sort as text
+    file_number = F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) as bigint)")
+    placed = docs.select("doc_id", "text", file_number.alias("file_number"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
+    return read_tokens(write_tokens(placed, TokenConfig(), ["file_number", "file_name", "row_index"]))
 
 
 STAGES = [
