@@ -275,8 +275,11 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(count_sketch(docs, cfg))
     heads = materialize(prefixes(docs, sketch, cfg), "prefixes")
-    classes = heads.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = materialize(heads.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", "rep"), "members")
+    # a written table on the right: broadcast if small, else a class of very many copies can be split between tasks
+    classes = heads.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("digest", "rep")
+    classes = small_side(materialize(classes, "classes"))
+    rep = F.coalesce("rep", F.when(F.col("n") > 0, F.col("doc_id"))).alias("rep")
+    members = materialize(heads.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", rep), "members")
     copies = materialize(members.where("doc_id != rep").select("doc_id").distinct(), "copies")
     chosen = heads.where("n > 0 and doc_id is not null").join(small_side(copies), "doc_id", "left_anti")
 
@@ -303,7 +306,7 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) ->
         # the doc walks its own block's trie as well, where it meets itself
         links = links.unionAll(more.where("src != dst"))
 
-    joined = materialize(connected_components(links).toDF("rep", "component_id"), "components")
+    joined = small_side(materialize(connected_components(links).toDF("rep", "component_id"), "components"))
     for done in (rows, heads):
         discard(done)
     return members.join(joined, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
