@@ -1,9 +1,9 @@
 """Licence scan by canonical digest lookup.
 
-A text is brought to a canonical form: lower case, copyright lines out, equivalent spellings made one, punctuation
-to spaces, white space collapsed. Its md5 is joined with the digests of known licences. The whole text of each document is looked up, and each of its lines on
-its own, as short notices stand within longer texts. The table of known digests is a
-constant of this module, so its broadcast has a fixed size.
+A text is brought to a canonical form: lower case, copyright lines, "All rights reserved" lines and the title at its head out,
+equivalent spellings made one, punctuation to spaces, white space collapsed. Its md5 is joined with the digests of known licences. The whole text of each document is looked up, and each of its lines on
+its own, as short notices stand within longer texts. The table of known digests comes from this module and the texts in
+``licenses``, so its broadcast has a fixed size. A text of several lines within a longer document is not found.
 
 Edge cases: null and empty texts have an empty form, which no licence has; repeated rows count once for each
 doc_id; null doc_ids are left out; other columns are ignored; an empty table gives no rows.
@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Texts of licences and of customary notices, as their authors publish them.
+# Texts of licences and of customary notices, as their authors publish them; longer ones are in the folder ``licenses``.
 LICENSES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "MIT-notice": "Released under the MIT License.",
@@ -34,18 +35,84 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
 
+_GNU = """{this} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{version}.
+{this} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+You should have received a copy of the GNU {name} along with {it}. If not, see <https://www.gnu.org/licenses/>."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+{0}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+{1}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{2}THIS SOFTWARE IS PROVIDED BY THE {4} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE {3} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_NEITHER = "Neither the name of {0} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+
+
+def _families() -> list[tuple[str, str]]:
+    """BSD texts numbered and with bullets, headers of the GNU licences with and without later versions."""
+    out = []
+    for marks in (("1. ", "2. ", "3. "), ("* ", "* ", "* ")):
+        for who, by in (("COPYRIGHT HOLDER OR CONTRIBUTORS", "COPYRIGHT HOLDERS AND CONTRIBUTORS"), ("REGENTS OR CONTRIBUTORS", "REGENTS AND CONTRIBUTORS")):
+            out.append(("BSD-2-Clause", _BSD.format(*marks[:2], "", who, by)))
+            for name in ("the copyright holder", "the University"):
+                out.append(("BSD-3-Clause", _BSD.format(*marks[:2], marks[2] + _NEITHER.format(name), who, by)))
+    for short, name, versions in (("GPL", "General Public License", ("2", "3")), ("LGPL", "Lesser General Public License", ("2.1", "3")), ("AGPL", "Affero General Public License", ("3",))):
+        for v in versions:
+            only = {"2": "2.0", "3": "3.0"}.get(v, v)
+            forms = {f", version {v}": "only", f"; version {v}": "only", f", either version {v} of the License, or (at your option) any later version": "or-later", f"; either version {v} of the License, or (at your option) any later version": "or-later"}
+            for version, kind in forms.items():
+                for this, it in (("This program", "this program"), ("This library", "this library"), ("This library", "this program")):
+                    out.append((f"{short}-{only}-{kind}-header", _GNU.format(this=this, it=it, colon=":", name=name, version=version)))
+    return out
+
+
+def license_texts() -> list[tuple[str, str]]:
+    """(name, text) of every known licence; those with an appendix also without it."""
+    out = list(LICENSES.items()) + _families()
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text()
+        end = text.find("END OF TERMS AND CONDITIONS")
+        out += [(path.stem, text)] + ([(path.stem, text[: end + 27]), (path.stem, text[:end])] if end > 0 else [])
+    return out
+
+
+#: Lines that are nothing but a title, at the head of a text.
+_TITLE = [
+    r"(?:the )?mit license(?: \(mit\))?",
+    r"(?:the )?(?:isc|zlib|unlicense|(?:new |modified |simplified |revised )?bsd)(?: license)?",
+    r"(?:the )?(?:bsd )?[23][ -]clause (?:bsd )?license",
+    r'bsd 3-clause "(?:new|revised)"(?: or "(?:new|revised)")? license',
+    r"apache license(?:,? version 2\.0)?(?:,? january 2004)?",
+    r"version 2\.0, january 2004",
+    r"(?:www\.)?apache\.org/licenses/?",
+    r"gnu (?:lesser |library |affero )?general public license",
+    r"version [123](?:\.[01])?, (?:[0-9]+ )?(?:february|june|november) [0-9]{4}",
+    r"(?:51 franklin|59 temple|675 mass)[^\n]*",
+    r"mozilla public license,? version (?:1\.1|2\.0)",
+    r"mozilla public license",
+    r"version 2\.0",
+    r"creative commons legal code",
+    r"cc0 1\.0 universal",
+    r"boost software license - version 1\.0 - august 17th, 2003",
+]
+TITLES = r"^(?:[^a-z0-9]*(?:" + "|".join(_TITLE) + r")[^a-z0-9\n]*(?:\n|$))+"
+
 #: (pattern, replacement) in order, in the syntax that Java, Python and RE2 share.
 RULES = [
+    (r"copyright[^a-z0-9]+(?:notices?|holders?|owners?|ownership|laws?|licen[cs]es?|line|disclaimer|interests?|permission|treaty|statement|patent|doctrines|the (?:software|library|program)|and|or|on|if|is|are|also|like|those)[^a-z0-9]", "protected\n"),
     (r"(?m)^[^\n]*(?:copyright \(c\)|copyright ©|copyright [0-9]|©)[^\n]*$", " "),
+    (r"(^|\n)[^a-z0-9\n]*(?:portions )?(?:copyright[^a-z0-9]|\(c\)[^a-z0-9\n]*[0-9]{4})[^\n]*", "\n"),
+    (r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(\n|$)", "\n"),
     (r"https?://", ""),
     (r"licence", "license"),
+    (TITLES, ""),
     (r"sub-licen[sc]e", "sublicense"),
     (r"merchantibility", "merchantability"),
     (r"non-infringement", "noninfringement"),
     (r"non-commercial", "noncommercial"),
-    (r"copyright owner", "copyright holder"),
     (r"acknowledgement", "acknowledgment"),
     (r"[^a-z0-9]+", " "),
 ]
@@ -66,7 +133,11 @@ def canonical_text(text: str) -> str:
 
 
 def known_digests() -> list[tuple[str, str]]:
-    return [(hashlib.md5(canonical_text(t).encode()).hexdigest(), name) for name, t in LICENSES.items()]
+    """Each digest once; of texts with one canonical form the first gives the name."""
+    known: dict[str, str] = {}
+    for name, text in license_texts():
+        known.setdefault(hashlib.md5(canonical_text(text).encode()).hexdigest(), name)
+    return list(known.items())
 
 
 def license_matches(docs: DataFrame) -> DataFrame:

@@ -216,6 +216,29 @@ def test_licenses(docs, texts):
     assert license_scan.license_matches(none_of(docs)).count() == 0
 
 
+def test_licenses_in_usual_forms(spark):
+    mit, texts = license_scan.LICENSES["MIT"], dict(license_scan.license_texts())
+    wrapped = lambda t: "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    rows = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + wrapped(mit)),
+        ("MIT", "The MIT License (MIT)\nCopyright Jane Doe\nAll rights reserved.\n\n" + mit),
+        ("ISC", "ISC License\n\nCopyright The Y Authors\n" + license_scan.LICENSES["ISC"]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2016, Z. All rights reserved.\n\n" + wrapped(texts["BSD-3-Clause"])),
+        ("BSD-2-Clause", "Copyright Z\n" + texts["BSD-2-Clause"]),
+        ("Apache-2.0", texts["Apache-2.0"]),
+        ("Apache-2.0-header", "# Copyright 2020 X\n" + "\n".join("# " + x for x in wrapped(texts["Apache-2.0-header"]).split("\n"))),
+        *((n, (license_scan.Path(license_scan.__file__).parent / "licenses" / f"{n}.txt").read_text()) for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0")),
+        (None, "MIT License"), (None, "Copyright (c) 2020 X\nAll rights reserved."), (None, mit[:-40]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.whole for r in license_scan.license_matches(docs).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(rows) if n}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [(i, t) for i, (_, t) in enumerate(rows)])
+    assert {r[0]: r[1] for r in con.execute(license_scan.license_sql()).fetchall()} == got
+
+
 def test_mixing_deviates_less_than_a_block(docs):
     cfg = mixing.MixConfig(weights={"src1": 5, "src2": 3}, default=1, block_docs=2, range_docs=20)
     got = sorted(((r.mix_pos, r.s, r.d) for r in mixing.mix_order(docs, cfg).select("mix_pos", F.col("row.source").alias("s"), F.col("row.doc_id").alias("d")).collect()), key=lambda r: r[0])
