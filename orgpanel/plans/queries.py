@@ -260,18 +260,28 @@ NAME_SQL = f"SELECT DISTINCT {WEAK_SQL.format('substr(text, 1, 40)')} AS name FR
 SHINGLE_SQL = "CASE WHEN length(name) >= 2 THEN [substr(name, i, 2) for i in range(1, length(name))] ELSE [name] END"
 
 
-def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").where("text is not null").select(names.weak_name(F.substring("text", 1, 40)).alias("name")).distinct()
+TEXTS, PARTS = ("documents", "text"), ("part", "p_name")
+
+
+def _names(spark: SparkSession, sf_dir: str, whole: tuple[str, str] | None = None) -> DataFrame:
+    """Distinct weak names: of the first 40 characters of documents, as in ``NAME_SQL``, or of whole values of (table, column)."""
+    table, column = whole or TEXTS
+    text = F.col(column) if whole else F.substring(column, 1, 40)
+    return _read(spark, sf_dir, table).where(F.col(column).isNotNull()).select(names.weak_name(text).alias("name")).distinct()
 
 
 @query(f"SELECT name, len(s) AS n, array_to_string(s, '|') AS shingles, round(list_sum([CASE WHEN len(s) = 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - i / (len(s) - 1) END for i in range(0, len(s))]), 6) AS weight FROM (SELECT name, {SHINGLE_SQL} AS s FROM ({NAME_SQL}))")
 def name_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _names(spark, sf_dir).select("name", similarity.shingles(F.col("name")).alias("s"))
+    return _shingled(_names(spark, sf_dir))
+
+
+def _shingled(found: DataFrame) -> DataFrame:
+    s = found.select("name", similarity.shingles(F.col("name")).alias("s"))
     return s.select("name", F.size("s").cast("long").alias("n"), F.array_join("s", "|").alias("shingles"), F.round(F.aggregate(similarity.decay(F.col("s")), F.lit(0.0), lambda a, x: a + x), 6).alias("weight"))
 
 
-def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _names(spark, sf_dir).where("name != ''").select("name", similarity.shingles(F.col("name")).alias("s"), similarity.words(F.col("name")).alias("w"))
+def _signed(spark: SparkSession, sf_dir: str, whole: tuple[str, str] | None = None) -> DataFrame:
+    n = _names(spark, sf_dir, whole).where("name != ''").select("name", similarity.shingles(F.col("name")).alias("s"), similarity.words(F.col("name")).alias("w"))
     features, weights = F.concat("s", "w"), F.concat(similarity.decay(F.col("s")), similarity.decay(F.col("w")))
     return n.select("name", similarity.simhash_native(features, weights).alias("sig"))
 
@@ -291,8 +301,8 @@ def simhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signed(spark, sf_dir)
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.dense_id(_signed(spark, sf_dir), ["name"])
+def _numbered(spark: SparkSession, sf_dir: str, whole: tuple[str, str] | None = None) -> DataFrame:
+    return relational.dense_id(_signed(spark, sf_dir, whole), ["name"])
 
 
 PAIR_SQL = f"""
@@ -301,8 +311,8 @@ PAIR_SQL = f"""
     SELECT name1, name2 FROM p WHERE e > 4"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = materialize(_numbered(spark, sf_dir), "signed")
+def _pairs(spark: SparkSession, sf_dir: str, whole: tuple[str, str] | None = None) -> DataFrame:
+    n = materialize(_numbered(spark, sf_dir, whole), "signed")
     pairs = clusters.lsh_pairs(n.select("id", "sig"))
     named = n.select("id", "name")
     return pairs.join(named.toDF("id1", "name1"), "id1").join(named.toDF("id2", "name2"), "id2")
@@ -316,8 +326,8 @@ def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLOSE_SQL = f"SELECT name1, name2 FROM ({PAIR_SQL}) WHERE 1.0::DOUBLE - levenshtein(name1, name2)::DOUBLE / greatest(length(name1), length(name2)) > 0.85::DOUBLE"
 
 
-def _close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).where(similarity.edit_similarity(F.col("name1"), F.col("name2")) > 0.85)
+def _close(spark: SparkSession, sf_dir: str, whole: tuple[str, str] | None = None) -> DataFrame:
+    return _pairs(spark, sf_dir, whole).where(similarity.edit_similarity(F.col("name1"), F.col("name2")) > 0.85)
 
 
 @query(CLOSE_SQL)
@@ -330,7 +340,10 @@ def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c AS (SELECT a, min(m) AS head FROM r GROUP BY a)
     SELECT a AS name, head, count(*) OVER (PARTITION BY head) AS size FROM c""")
 def name_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    close = materialize(_close(spark, sf_dir), "close")
+    return _components(materialize(_close(spark, sf_dir), "close"))
+
+
+def _components(close: DataFrame) -> DataFrame:
     c = components.connected_components(close, "id1", "id2")
     named = close.select(F.col("id1").alias("id"), F.col("name1").alias("name")).unionAll(close.select("id2", "name2")).distinct()
     # ids follow the order of names, so the smallest id is the smallest name
@@ -339,6 +352,49 @@ def name_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(sizes, "component").join(named, "id").join(heads, "component").select("name", "head", "size")
 
 
+# The same operators over whole values: all text of each document, or whole name columns. Tests hold them against brute force.
+# Pairs are of part names: of whole documents one pair in eight agrees in five bands, and of customers nearly all, so pairs grow with the square.
+
+
+@query()
+def whole_weak_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", names.weak_name(F.col("text")).alias("name"))
+
+
+@query()
+def whole_org_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names of customers, suppliers and parts, as they are."""
+    columns = {"customer": "c_name", "supplier": "s_name", "part": "p_name"}
+    found = [_read(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(c).alias("name")) for t, c in columns.items()]
+    both = found[0].unionAll(found[1]).unionAll(found[2]).where("name is not null").distinct()
+    return both.select("source", "name", names.org_type(F.lower("name")).alias("org_type"))
+
+
+@query()
+def whole_name_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shingled(_names(spark, sf_dir, TEXTS))
+
+
+@query()
+def whole_simhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signed(spark, sf_dir, TEXTS)
+
+
+@query()
+def whole_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir, PARTS).select("name1", "name2")
+
+
+@query()
+def whole_close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _close(spark, sf_dir, PARTS).select("name1", "name2")
+
+
+@query()
+def whole_name_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _components(materialize(_close(spark, sf_dir, PARTS), "close"))
+
+
 @query("""WITH s AS (SELECT lower(c_name) AS raw, 0 AS src FROM customer UNION ALL SELECT lower(s_name), 1 FROM supplier),
     n AS (SELECT trim(replace(raw, '#', ' ')) AS name, min(src) AS src FROM s GROUP BY 1)
     SELECT row_number() OVER (ORDER BY src, name) - 1 AS id, name FROM n""")

@@ -1,0 +1,89 @@
+"""The queries over whole documents and whole names against brute force."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+from orgpanel.functions import names
+from orgpanel.plans.queries import QUERIES, WEAK_SQL
+
+SF = "/root/testdata/sf0.001"
+CON = duckdb.connect()
+
+
+@pytest.fixture(scope="module")
+def weak():
+    found = duckdb.sql(f"SELECT doc_id, {WEAK_SQL.format('text')} FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    assert max(len(n) for _, n in found) > 40
+    return dict(found)
+
+
+def decay(items):
+    return [1.0 if len(items) == 1 else 1 - i / (len(items) - 1) for i in range(len(items))]
+
+
+def pieces(name):
+    return [name[i : i + 2] for i in range(len(name) - 1)] or [name]
+
+
+def signature(name):
+    sums = [0] * 64
+    for items in (pieces(name), re.findall(r"\S+", name)):
+        for x, w in zip(items, decay(items)):
+            h, w = int(hashlib.md5(x.encode()).hexdigest()[:16], 16), int(w * 1000000 + 0.5)
+            for j in range(64):
+                sums[j] += w if h >> j & 1 else -w
+    return sum(1 << j for j in range(64) if sums[j] >= 0)
+
+
+def distance(a, b):
+    return CON.execute("SELECT levenshtein(?, ?)", [a, b]).fetchall()[0][0]
+
+
+def test_whole_names(spark, weak):
+    run = lambda name: QUERIES[name](spark, SF).collect()
+    assert {r.doc_id: r.name for r in run("whole_weak_names")} == weak
+    distinct = sorted(set(weak.values()))
+    shingles = {r.name: (r.n, r.shingles, r.weight) for r in run("whole_name_shingles")}
+    assert set(shingles) == set(distinct)
+    assert all(shingles[n][:2] == (len(pieces(n)), "|".join(pieces(n))) and abs(shingles[n][2] - sum(decay(pieces(n)))) < 1e-5 for n in distinct)
+    sig = {n: signature(n) for n in distinct if n}
+    assert {r.name: r.sig % 2**64 for r in run("whole_simhash_signatures")} == sig
+    parts = duckdb.sql(f"SELECT DISTINCT {WEAK_SQL.format('p_name')} FROM '{SF}/part.parquet' WHERE p_name IS NOT NULL").fetchall()
+    sig = {n: signature(n) for (n,) in parts if n}
+    bands = {n: [s >> 8 * k & 255 for k in range(8)] for n, s in sig.items()}
+    order = sorted(sig)
+    pairs = {(a, b) for i, a in enumerate(order) for b in order[:i] if sum(x == y for x, y in zip(bands[a], bands[b])) > 4}
+    assert {(r.name1, r.name2) for r in run("whole_lsh_pairs")} == pairs and pairs
+    close = {(a, b) for a, b in pairs if 1 - distance(a, b) / max(len(a), len(b)) > 0.85}
+    assert {(r.name1, r.name2) for r in run("whole_close_pairs")} == close
+    near = defaultdict(set)
+    for a, b in close:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for n in sorted(near):
+        if n not in want:
+            group, todo = {n}, [n]
+            while todo:
+                more = near[todo.pop()] - group
+                group |= more
+                todo += more
+            want |= {x: (min(group), len(group)) for x in group}
+    assert {r.name: (r.head, r.size) for r in run("whole_name_components")} == want
+
+
+def test_whole_org_types(spark):
+    columns = (("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name"))
+    given = {(t, n) for t, c in columns for (n,) in duckdb.sql(f"SELECT {c} FROM '{SF}/{t}.parquet' WHERE {c} IS NOT NULL").fetchall()}
+
+    def kind(name):
+        n = name.lower().replace(".", "").replace("/", "")
+        if re.search(names.whole_word(names.COMPANY), n) or re.search("[0-9&()]", n) or not re.search("[ ,]", n) or len(n) > 30:
+            return 0
+        return 1 if re.search(names.whole_word(names.INSTITUTION), n) else 2
+
+    assert {(r.source, r.name): r.org_type for r in QUERIES["whole_org_types"](spark, SF).collect()} == {k: kind(k[1]) for k in given}
