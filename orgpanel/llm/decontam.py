@@ -4,14 +4,16 @@ Texts become words (letters and digits, lower-cased). A mask such as ``110111``
 words and hashes those under its ones; the ignored places may differ between a passage and its copy. Hashes of the test
 items are joined with those of the training texts; a hit fixes the shift between the two. At every
 shift found, all words of the item are held against the text, place by place, and the best stretch of
-``window`` words (the whole item, if shorter) counts: a leak has at least ``percent`` equal words in it.
+``window`` words (the whole item, if shorter) counts: a leak has at least ``percent`` equal words in it. Items of some lengths up to ``window``
+have further masks of their own, so that every choice of replaced words that ``percent`` allows leaves a hit; texts are hashed under these only if
+the benchmark has items of such lengths.
 
 The hashes of the items are broadcast only up to ``broadcast_seeds`` rows (counted first); beyond that the same join
 shuffles both sides. Training hashes never carry the text; texts of documents with hits are fetched once for the check. Only
 DataFrame and SQL functions are used.
 
-Edge cases: null and empty texts and items have no words and never match; an item with
-fewer words than the shortest mask leaks only into a text with exactly the same words; repeated rows of
+Edge cases: null and empty texts and items have no words and never match; items of
+a few words are found within longer texts too; repeated rows of
 a doc_id or an item_id count once, and their different texts are all tried; null ids are left out of the pairs; other columns are
 ignored; an empty table on either side gives no pairs.
 """
@@ -19,6 +21,8 @@ ignored; an empty table on either side gives no pairs.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,26 +43,57 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seed_array(cfg: DecontamConfig) -> str:
-    """All seeds of the array ``w``: for each mask and place, the hash of the words under its ones."""
+def _hit(mask: str, n: int, changed: tuple[int, ...]) -> bool:
+    """Whether the mask has a place in n words at which none of its ones is changed."""
+    return any(all(p + k not in changed for k, c in enumerate(mask) if c == "1") for p in range(n - len(mask) + 1))
+
+
+@cache
+def short_masks(cfg: DecontamConfig) -> dict[int, tuple[str, ...]]:
+    """For each length up to ``window`` the masks that it needs besides ``cfg.masks``; items of more words are as those of ``window``.
+
+    Every choice of the most replaced words allowed then leaves a mask whole, and so does every choice of fewer.
+    """
+    out = {}
+    for n in range(1, cfg.window + 1):
+        changes = combinations(range(n), n - -(-cfg.percent * n // 100))
+        missed, added = [c for c in changes if not any(_hit(m, n, c) for m in cfg.masks)], []
+        while missed:
+            masks = sorted({"".join("0" if k in c else "1" for k in range(n)).strip("0") for c in missed} - {""})
+            if not masks:
+                break
+            added.append(max(masks, key=lambda m: sum(_hit(m, n, c) for c in missed)))
+            missed = [c for c in missed if not _hit(added[-1], n, c)]
+        if added:
+            out[n] = tuple(added)
+    return out
+
+
+def _seed_array(masks: list[tuple[int, str, str]]) -> str:
+    """All seeds of the array ``w``: for each (number, mask, condition) and place, the hash of the words under the ones."""
     parts = []
-    for m, mask in enumerate(cfg.masks):
+    for m, mask, when in masks:
         under = ", ".join(f"w[i + {k}]" for k, c in enumerate(mask) if c == "1")
-        parts.append(f"if(size(w) >= {len(mask)}, transform(sequence(0, size(w) - {len(mask)}), i -> named_struct('at', i, 'h', xxhash64({m}, {under}))), array())")
+        parts.append(f"if({when}size(w) >= {len(mask)}, transform(sequence(0, size(w) - {len(mask)}), i -> named_struct('at', i, 'h', xxhash64({m}, {under}))), array())")
     return f"concat({', '.join(parts)})"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
     """(doc_id, item_id, matched, compared): each pair that leaks, with the equal words of its best stretch."""
-    shortest = min(map(len, cfg.masks))
     items = benchmark.where("item_id is not null").select("item_id", words_of(F.col("text")).alias("w")).where("size(w) > 0").distinct()
     longest = F.max(F.size("w")).over(Window.partitionBy("item_id"))
     items = materialize(items.withColumn("n", longest), "items")
-    item_seeds = items.select("item_id", "n", F.explode(F.expr(_seed_array(cfg))).alias("s")).select("item_id", "n", "s.h", F.col("s.at").alias("item_at"))
+    # at most ``window`` rows
+    lengths = {r.k for r in items.select(F.expr(f"least(size(w), {cfg.window})").alias("k")).distinct().collect()}
+    short = {n: m for n, m in short_masks(cfg).items() if n in lengths}
+    own = {mask: sorted(n for n in short if mask in short[n]) for mask in sorted({m for ms in short.values() for m in ms})}
+    base = [(m, mask, "") for m, mask in enumerate(cfg.masks)]
+    more = [(len(base) + m, mask, f"least(size(w), {cfg.window}) in ({', '.join(map(str, ns))}) and ") for m, (mask, ns) in enumerate(own.items())]
+    item_seeds = items.select("item_id", "n", F.explode(F.expr(_seed_array(base + more))).alias("s")).select("item_id", "n", "s.h", F.col("s.at").alias("item_at"))
     if item_seeds.count() <= cfg.broadcast_seeds:
         item_seeds = F.broadcast(item_seeds)
     texts = docs.where("doc_id is not null").select("doc_id", words_of(F.col("text")).alias("w"))
-    seeds = texts.select("doc_id", F.explode(F.expr(_seed_array(cfg))).alias("s")).select("doc_id", "s.h", F.col("s.at").alias("doc_at"))
+    seeds = texts.select("doc_id", F.explode(F.expr(_seed_array(base + [(m, mask, "") for m, mask, _ in more]))).alias("s")).select("doc_id", "s.h", F.col("s.at").alias("doc_at"))
     hits = seeds.join(item_seeds, "h").select("doc_id", "item_id", "n", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     hits = materialize(hits, "hits")
 
@@ -75,12 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamC
     width = f"least(size(f), {cfg.window})"
     best = f"array_max(transform(sequence(0, size(f) - {width}), i -> aggregate(slice(f, i + 1, {width}), 0, (a, x) -> a + x)))"
     close = held.select("doc_id", "item_id", F.expr(best).alias("matched"), F.expr(width).alias("compared"))
-    close = close.where(f"100 * matched >= {cfg.percent} * compared and compared >= {shortest}")
-
-    small = items.where(f"size(w) < {shortest}").select("item_id", F.array_join("w", " ").alias("all"), F.size("w").alias("compared"))
-    tiny = texts.where(f"size(w) between 1 and {shortest - 1}").select("doc_id", F.array_join("w", " ").alias("all"))
-    same = tiny.join(small, "all").select("doc_id", "item_id", F.col("compared").alias("matched"), "compared")
-    pairs = close.unionAll(same).groupBy("doc_id", "item_id")
+    pairs = close.where(f"100 * matched >= {cfg.percent} * compared").groupBy("doc_id", "item_id")
     return pairs.agg(F.max(F.struct("matched", "compared")).alias("m")).select("doc_id", "item_id", "m.matched", "m.compared")
 
 

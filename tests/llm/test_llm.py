@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -152,6 +153,26 @@ def test_decontamination(spark, docs, texts):
     assert decontam.leaks(rows, none_of(items)).count() == 0 and decontam.leaks(none_of(rows), items).count() == 0
 
 
+def test_decontamination_without_seeds(spark):
+    """Every choice of replaced words that the share allows, in items of 1 to 14 words, held at every shift."""
+    cfg, rng = decontam.DecontamConfig(), np.random.default_rng(4)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 15)}
+    items |= {100 + k: [f"c{x}" for x in rng.integers(0, 3, 3 + k % 11)] for k in range(22)}
+    texts = [["before"] * (n % 3) + [f"z{k}" if k in c else w for k, w in enumerate(items[n])] + ["after"] * (n % 2) for n in range(1, 15) for r in range(4) for c in combinations(range(n), r)]
+    texts += [[f"c{x}" for x in rng.integers(0, 3, int(rng.integers(1, 30)))] for _ in range(60)]
+    want = set()
+    for d, t in enumerate(texts):
+        for i, item in items.items():
+            n = min(cfg.window, len(item))
+            for s in range(-len(item), len(t)) if set(t) & set(item) else ():
+                f = [int(0 <= k + s < len(t) and t[k + s] == w) for k, w in enumerate(item)]
+                if max(sum(f[a : a + n]) for a in range(len(f) - n + 1)) * 100 >= cfg.percent * n:
+                    want.add((d, i))
+    rows = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(rows, bench, cfg).collect()} == want
+
+
 def test_nearest(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
     bad = [(1000, None), (1020, [0.0] * 64), (1040, [float("nan")] * 64), (1060, [1.0] * 3), (1080, []), (1100, [None] * 64), (None, [1.0] * 64)]
