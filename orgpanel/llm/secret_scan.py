@@ -1,7 +1,7 @@
 """Secret scan by dictionary-primed compression novelty.
 
 Base kinds (assign, access, hex) are what their patterns match. A further candidate is a run of 16 or more token characters with a letter
-and a digit, within ``context`` characters after a word such as key, token or credential. For each candidate, zstandard compresses the text
+and a digit, cut at ``=`` between name and value, that starts within ``context`` characters after a word such as key, token or credential or has one in its name. For each candidate, zstandard compresses the text
 around it after a dictionary of identifiers and that text's own words, with and without the candidate; the bytes that the candidate adds are its novelty. Names, paths and
 repeated strings add few, random strings about as many as they have bits. Candidates of at
 least ``novelty`` bytes a character that no base span covers are reported as kind ``novel``; base spans carry their novelty as well.
@@ -30,6 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: a run of fewer than 24 fails as a whole, so runs of 24 or more are the same matches
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: what stands between equals signs, and those at its end if nothing of the run follows
+PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
+LONGEST = len("credential")
 WORD = re.compile(r"key|token|secret|passw|credential|auth|bearer|private|signature", re.I | re.A)
 
 # Identifiers that are common in code and settings.
@@ -74,18 +77,28 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return sorted(out)
 
 
+def candidates(text: str, cfg: SecretConfig) -> Iterator[tuple[int, int]]:
+    """(start, end) of each run, or part of a run between equals signs, after a sensitive word; padding stays with its run."""
+    if not WORD.search(text):
+        return
+    for run in RUN.finditer(text):
+        name = run.start()
+        for m in PART.finditer(text, run.start(), run.end()):
+            start, end = m.span()
+            first, name = min(name, start - cfg.context), start
+            if end - start >= 16 and any(w.end() >= first for w in WORD.finditer(text, max(0, first - LONGEST), start)):
+                yield start, end
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str, int]], novelty: Novelty, cfg: SecretConfig) -> list[tuple[int, int, str, int]]:
     """Incompressible runs in a sensitive context that no base span meets."""
-    out, seen = [], 0
-    for word in WORD.finditer(text):
-        for m in RUN.finditer(text, max(word.end(), seen), min(len(text), word.end() + cfg.context)):
-            tail = RUN.match(text, m.start())
-            start, end = m.start(), tail.end() if tail else m.end()
-            seen, run = end, text[start:end]
-            if (start and RUN.match(text[start - 1] * 16)) or run.isalpha() or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
-                continue
-            if all(end <= s or e <= start for s, _, _, e in base) and novelty(text, start, end) >= cfg.novelty:
-                out.append((start, 3, "novel", end))
+    out = []
+    for start, end in candidates(text, cfg):
+        run = text[start:end]
+        if run.isalpha() or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+            continue
+        if all(end <= s or e <= start for s, _, _, e in base) and novelty(text, start, end) >= cfg.novelty:
+            out.append((start, 3, "novel", end))
     return out
 
 

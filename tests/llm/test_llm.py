@@ -331,6 +331,17 @@ def test_secrets(docs, texts):
     assert secret_scan.secret_digests(none_of(docs)).count() == 0
 
 
+def test_secrets_after_equals_signs():
+    cfg, key = secret_scan.SecretConfig(), "q7Xb9ZkT2mVw4RcY8nLp3HsJ6dFg1AeU5oWiK0Bt"
+    novelty = secret_scan.Novelty(cfg)
+    found = lambda t: [t[s:e] for s, _, _, e in secret_scan.novel_spans(t, secret_scan.base_spans(t), novelty, cfg)]
+    long_name = "SECRET_" + "OF_THE_SERVICE_" * 5 + "IN_USE"
+    for before in ("AWS_SECRET_ACCESS_KEY=", "STRIPE_KEY=", "auth=", "export A_KEY==", "key: ", "key = '", long_name + "=", "key " + "." * 44, "x=1 credential=", "n=1=key="):
+        assert found(before + key + " end") == [key], before
+    assert found("A_KEY=" + key + "==") == [key + "=="] and found("B_KEY=" + key[:20] + "=" + key[20:]) == [key[:20], key[20:]]
+    assert found("colour=" + key) == [] and found("key " + "." * 60 + key) == [] and found("STRIPE_KEY=someordinarywordsinarow") == []
+
+
 def test_codes_round_trip():
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 10 ** int(rng.integers(1, 10)), int(n)).astype("<u4") for n in [0, 1, 5, 700, 0, 1500]]
