@@ -13,18 +13,16 @@ from orgpanel.llm.common import without
 from orgpanel.llm.decontam import DecontamConfig, clean_documents
 from orgpanel.llm.jaccard import JaccardConfig, jaccard_components
 from orgpanel.llm.mixing import MixConfig, mix_sources
-from orgpanel.llm.quality import LEARN, QualityConfig, fit, score
+from orgpanel.llm.quality import LEARN, QualityConfig, accepted, fit
 from orgpanel.llm.token_codes import TokenConfig, read_tokens, write_tokens
 from orgpanel.storage import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. Null doc_ids are judged by text like all others."""
+    """Rows that the classifier does not reject, each by its own text, with or without a doc_id."""
     cfg = QualityConfig()
     weights = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), cfg, LEARN)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rejected = materialize(score(keyed, weights, cfg).where("predicted = 0").select("doc_id").distinct(), "rejected")
-    return without(docs, rejected)
+    return accepted(docs, weights, cfg)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,6 +140,23 @@ def score(docs: DataFrame, weights: np.ndarray, cfg: QualityConfig = QualityConf
     return scored.withColumn("predicted", (F.col("score") >= cfg.threshold).cast("int"))
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, cfg: QualityConfig = QualityConfig()) -> DataFrame:
+    """The rows of docs whose own text scores at least the threshold, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, w = featurizer(cfg.bits), shared.value.astype(np.float64)
+        for b in batches:
+            out = np.empty(b.num_rows)
+            for i, text in enumerate(b.column(at)):
+                places, values = features(text.as_py())
+                out[i] = w[-1] + w[places] @ values
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))) >= cfg.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 LEARN = "crc32(cast(doc_id as string)) % 4 != 2"
 
 

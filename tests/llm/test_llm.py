@@ -389,6 +389,27 @@ def test_pipeline(spark, docs, texts):
     assert [r.doc_id for r in out] == [r.doc_id for r in docs.orderBy("_metadata.file_name", "_metadata.row_index").collect()]
 
 
+def test_pipeline_quality_by_row(spark, docs):
+    """Rows without a doc_id and rows that repeat one are each judged by their own text."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    weights = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), quality.QualityConfig(), quality.LEARN)
+    judged = {r.doc_id: r.score for r in quality.score(docs, weights).collect() if r.doc_id is not None and r.doc_id < 200}
+    bad, good = min(judged, key=judged.get), max(judged, key=judged.get)
+    one = lambda d, to: docs.where(f"doc_id = {d}").limit(1).withColumn("doc_id", F.lit(to).cast("long"))
+    rows = materialize(one(bad, 7000).unionByName(one(good, 7000)).unionByName(one(bad, None)).unionByName(one(good, None)).unionByName(docs.where("doc_id < 200")), "by_row")
+    weights = quality.fit(rows, spark.read.parquet(f"{SF}/labels.parquet"), quality.QualityConfig(), quality.LEARN)
+    words, w = quality.featurizer(quality.QualityConfig().bits), weights.astype(np.float64)
+
+    def keep(text):
+        places, values = words(text)
+        return 1 / (1 + np.exp(-np.clip(w[-1] + w[places] @ values, -35, 35))) >= quality.QualityConfig().threshold
+
+    got = corpus_pipeline.quality(spark, rows, SF)
+    want = Counter(tuple(r) for r in rows.collect() if keep(r.text))
+    assert got.columns == rows.columns and Counter(tuple(r) for r in got.collect()) == want
+    assert sum(r[0] == 7000 for r in want) == sum(r[0] is None for r in want) == 1
+
+
 @pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
