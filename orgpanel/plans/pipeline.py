@@ -18,7 +18,7 @@ PARSERS = {
     "apply": lambda s, p: (r := patents.apply_records(s, p), patents.apply_tables(r)),
     "assign": lambda s, p: (r := patents.transfer_records(s, p), patents.transfer_tables(r)),
     "tmapply": lambda s, p: (r := patents.mark_records(s, p), patents.mark_tables(r)),
-    "maint": lambda s, p: (None, {"maint_maint": flat.maintenance_table(s, p)}),
+    "maint": lambda s, p: (None, {"maint_maint": flat.maintenance_table(s, flat.newest_snapshot(s, p))}),
     "compustat": lambda s, p: (None, {"compustat_compustat": flat.accounts_table(s, p)}),
 }
 

@@ -25,6 +25,17 @@ def latest(paths: list[str]) -> str:
     return max(paths, key=lambda p: int(re.search(r"_(\d+)\.[^.]*$", p)[1]))
 
 
+def newest_snapshot(spark: SparkSession, path: str) -> str:
+    """The newest MaintFeeEvents file of a folder; any other path, and a folder without such files, as it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder) or not fs.getFileStatus(folder).isDirectory():
+        return path
+    files = [f.getPath().toString() for f in fs.listStatus(folder) if f.isFile()]
+    dated = [f for f in files if re.search(r"MaintFeeEvents_\d+\.[^./]*$", f)]
+    return latest(dated) if dated else path
+
+
 def maintenance_events(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     cut = {n: F.nullif(F.trim(F.substring("value", a + 1, b - a)), F.lit("")) for n, (a, b) in FIELDS.items()}

@@ -162,3 +162,15 @@ def test_csv_round_trip(spark, tmp_path):
     pipeline.export_csv(df, str(tmp_path / "c"))
     got = pipeline.read_csv(spark, str(tmp_path / "c"), "t string, x double", na_tokens=True).collect()
     assert {(r.t, r.x) for r in got} == {("a\nb", 1.235), (None, None)}
+
+
+def test_newest_snapshot_of_a_maintenance_folder(spark, tmp_path):
+    line = "{:<13} {:<8} {} 20000101 20010101 20050101 M170 ".format
+    data, out = tmp_path / "maint", tmp_path / "tables"
+    data.mkdir()
+    for name, number in (("MaintFeeEvents_20190101.txt", "1111111"), ("MaintFeeEvents_20200101.txt", "2222222"), ("readme.txt", "3333333")):
+        (data / name).write_text(line(number, "09000001", "Y") + "\n")
+    pipeline.parse(spark, "maint", str(data), str(out))
+    both, one = spark.read.parquet(f"{out}/maint_maint").count(), flat.newest_snapshot(spark, str(data))
+    assert both == 1 and one.endswith("MaintFeeEvents_20200101.txt")
+    assert flat.newest_snapshot(spark, one) == one
