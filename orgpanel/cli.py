@@ -23,7 +23,9 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     fetch.add_argument("--delay", type=float, default=10)
     parse = verbs.add_parser("parse")
     parse.add_argument("kind", choices=sorted(pipeline.PARSERS))
+    parse.add_argument("files", nargs="*", help="files to parse; else all of --path that are not parsed yet")
     parse.add_argument("--path")
+    parse.add_argument("--formats", nargs="*", type=int)
     firms = verbs.add_parser("firms")
     firms.add_argument("action", choices=sorted(pipeline.FIRMS))
     firms.add_argument("--sources", nargs="*")
@@ -51,7 +53,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
 
             spark = SparkSession.builder.appName("orgpanel").getOrCreate()
         if a.verb == "parse":
-            pipeline.parse(spark, a.kind, a.path or f"{a.datadir}/raw/{a.kind}", tables, a.dryrun)
+            pipeline.parse(spark, a.kind, a.files or a.path or f"{a.datadir}/raw/{a.kind}", tables, a.dryrun, a.overwrite, tuple(a.formats) if a.formats else None)
         elif a.action == "cluster":
             pipeline.cluster(spark, tables, a.sources)
         elif a.action == "merge":

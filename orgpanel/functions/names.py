@@ -57,7 +57,7 @@ STRONG = [
     (rf"{EDGE}({W}) & ({W}){EDGE}", "$1$2"),
     (r"'s|\(.*\)|\.", ""),
     (PUNCT, " "),
-    ("|".join(rf"{EDGE}{w}{EDGE}" for words in GENERIC.values() for w in words), ""),
+    (rf"{EDGE}(?:{'|'.join(w for words in GENERIC.values() for w in words)}){EDGE}", ""),
     (r" +", " "),
 ]
 
@@ -71,7 +71,7 @@ def strong_name(name: Column) -> Column:
 
 
 def whole_word(words: str) -> str:
-    return rf"\b({'|'.join(words.split())})\b"
+    return rf"{EDGE}({'|'.join(words.split())}){EDGE}"
 
 
 def org_type(name: Column) -> Column:

@@ -40,8 +40,8 @@ def dense_id(df: DataFrame, order: list[Column | str], name: str = "id") -> Data
 def group_mode(df: DataFrame, group: str, value: str) -> DataFrame:
     """The most frequent value of each group and its count, ties to the smallest value."""
     counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    top = counts.groupBy(group).agg(F.max(F.struct("n")).alias("m")).select(group, F.col("m.n").alias("n"))
-    return counts.join(top, [group, "n"]).groupBy(group, "n").agg(F.min(value).alias("mode")).select(group, "mode", "n")
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col(value).alias("mode")))
+    return counts.groupBy(group).agg(best.alias("m")).select(group, F.col("m.mode").alias("mode"), (-F.col("m.less")).alias("n"))
 
 
 def full_align(frames: list[DataFrame], keys: list[str]) -> DataFrame:

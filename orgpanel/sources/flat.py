@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from orgpanel.functions.ids import industry_code, prune_number
 from orgpanel.operators.maintenance import maintenance_rollup
 from orgpanel.operators.relational import dense_id
+from orgpanel.storage import list_files
 
 # Places of the fields in a line, end exclusive. Codes have four or five characters.
 FIELDS = {"patnum": (0, 13), "is_small": (23, 24), "event_code": (52, 57)}
@@ -27,12 +28,7 @@ def latest(paths: list[str]) -> str:
 
 def newest_snapshot(spark: SparkSession, path: str) -> str:
     """The newest MaintFeeEvents file of a folder; any other path, and a folder without such files, as it is."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder) or not fs.getFileStatus(folder).isDirectory():
-        return path
-    files = [f.getPath().toString() for f in fs.listStatus(folder) if f.isFile()]
-    dated = [f for f in files if re.search(r"MaintFeeEvents_\d+\.[^./]*$", f)]
+    dated = [f for f in list_files(spark, path, ("MaintFeeEvents_*.*",)) if re.search(r"MaintFeeEvents_\d+\.(?!zip$)[^./]*$", f)]
     return latest(dated) if dated else path
 
 

@@ -6,6 +6,7 @@ Numbers and classes are put in form by native columns afterwards.
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
 from functools import reduce
 from xml.etree.ElementTree import Element
 
@@ -183,22 +184,33 @@ APPLIES = {
 }
 
 
-def grant_records(spark: SparkSession, path: str, formats: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """All grants of a folder as records with arrays of classes and citations, and an error column."""
+def _of_format(paths: str | list[str], glob: str) -> str | list[str]:
+    """Of a list of files those of one format; a folder is left to the reader's own filter."""
+    return paths if isinstance(paths, str) else [p for p in paths if fnmatch(p.rsplit("/", 1)[-1], glob)]
+
+
+def _empty(spark: SparkSession, fields: str) -> DataFrame:
+    return spark.createDataFrame([], f"{fields}, file string, pos struct<block:bigint,n:bigint>, error string")
+
+
+def grant_records(spark: SparkSession, path: str | list[str], formats: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """All grants of a folder, or of given files, as records with arrays of classes and citations, and an error column."""
     parts = []
     for gen in formats:
         glob, separator, build, digits, _ = GRANTS[gen]
-        made = parse_records(text_chunks(spark, path, separator, glob), build, PATENT)
+        if not (paths := _of_format(path, glob)):
+            continue
+        made = parse_records(text_chunks(spark, paths, separator, glob), build, PATENT)
         made = made.withColumn("patnum", prune_number(F.col("patnum"), digits)).withColumn("cites", F.transform("cites", lambda c: prune_number(c, digits)))
         # ipcr classes have their slash already
         made = made.withColumn("ipcs", F.transform("ipcs", lambda c: F.when(c.contains("/"), c).otherwise(pad_class(c))))
         parts.append(made)
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else _empty(spark, PATENT)
 
 
-def apply_records(spark: SparkSession, path: str, formats: tuple[int, ...] = (2, 3)) -> DataFrame:
-    parts = [parse_records(text_chunks(spark, path, APPLIES[g][1], APPLIES[g][0]), APPLIES[g][2], PATENT) for g in formats]
-    return reduce(DataFrame.unionByName, parts)
+def apply_records(spark: SparkSession, path: str | list[str], formats: tuple[int, ...] = (2, 3)) -> DataFrame:
+    parts = [parse_records(text_chunks(spark, paths, APPLIES[g][1], APPLIES[g][0]), APPLIES[g][2], PATENT) for g in formats if (paths := _of_format(path, APPLIES[g][0]))]
+    return reduce(DataFrame.unionByName, parts) if parts else _empty(spark, PATENT)
 
 
 def class_rows(records: DataFrame, key: str) -> DataFrame:
@@ -240,7 +252,7 @@ def transfer_record(root: Element) -> dict:
     }
 
 
-def transfer_records(spark: SparkSession, path: str) -> DataFrame:
+def transfer_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_records(text_chunks(spark, path, "</patent-assignment>", "*.xml"), xml_builder("patent-assignment", transfer_record), TRANSFER)
 
 
@@ -266,7 +278,7 @@ def mark_record(root: Element) -> dict:
     }
 
 
-def mark_records(spark: SparkSession, path: str) -> DataFrame:
+def mark_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_records(text_chunks(spark, path, "</case-file>", "apc*.xml"), xml_builder("case-file", mark_record), MARK)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 XML_OWN = {"amp", "lt", "gt", "quot", "apos"}
 
 
-def text_chunks(spark: SparkSession, path: str, separator: str, glob: str | None = None) -> DataFrame:
+def text_chunks(spark: SparkSession, path: str | list[str], separator: str, glob: str | None = None) -> DataFrame:
     """(file, pos, chunk): pieces of files between separators as bytes; pos orders the pieces of a file."""
     reader = spark.read.option("lineSep", separator)
     if glob:
@@ -91,5 +91,10 @@ def good(parsed: DataFrame) -> DataFrame:
     return kept.select([F.nullif(F.col(f.name), F.lit("")).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name) for f in kept.schema.fields])
 
 
+def file_counts(parsed: DataFrame) -> DataFrame:
+    """(file, n_records, n_bad) of a scan."""
+    return parsed.groupBy("file").agg(F.count_if(F.col("error").isNull()).alias("n_records"), F.count_if(F.col("error").isNotNull()).alias("n_bad"))
+
+
 def quarantine(parsed: DataFrame) -> DataFrame:
     return parsed.where("error is not null").select("file", "pos", "error")
