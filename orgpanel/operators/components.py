@@ -39,10 +39,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
     alone = pairs.where("u = v").select(F.col("u").alias("id")).distinct()
-    current = materialize(_small_star(pairs.where("u != v")), "cc")
+    current = materialize(_small_star(pairs.where("u != v")), "cc", small=True)
     mark = _mark(current)
     while mark[0]:
-        after = materialize(_small_star(_large_star(current)), "cc")
+        after = materialize(_small_star(_large_star(current)), "cc", small=True)
         discard(current)
         current, before, mark = after, mark, _mark(after)
         if mark == before:
