@@ -4,36 +4,39 @@ Every text becomes the set of its word n-grams (64-bit hashes). One order holds
 n-grams in rarely filled buckets of a fixed-size count sketch first, ties by hash. Any fixed
 order gives exact results; this one keeps passages that many texts share out of the prefixes.
 
-1. Sets that are equal form a class; only its smallest doc_id goes on.
+1. Every row gets a number. Rows with equal sets form a class; the row with the smallest number stands for it.
 2. Two sets that reach the threshold share an n-gram within the first ``n - ceil(t n) + 1``
    of each (the prefix). Prefix entries are dealt by n-gram. In lists of up to ``short``
-   members the shared entries of each pair are counted and the pair is kept only if what lies
-   beyond the prefixes could still lift it to the threshold; longer lists link their members
-   to the smallest. Both only tell which sets may belong together (the *clusters*).
-3. Each cluster is dealt in blocks of about ``block`` sets. In a block the ordered sets go into a
+   members the shared entries of each pair are counted, and the pair is kept only if its first shared place, what lies beyond the prefixes and
+   its entries in longer lists could still lift it to the threshold. In longer lists an entry has a range of sizes that a partner
+   may have if this n-gram is the first they share; a set is linked to the hub of such partners, the first of those of its size class that can meet larger sets.
+   So a passage in the late places of many sets links none of them. All this only tells which sets may belong together (the *clusters*).
+3. The ordered sets of clusters are written once. A cluster of more than ``block`` sets or ``block_grams`` n-grams is dealt in blocks by size class
+   and hash, and its ``hubs`` sets with the most candidate links stand in every block. In a block the sets go into a
    compressed trie. A set is matched by one walk that shares the overlap of common
    paths and leaves a subtree when the sizes or remaining lengths below it rule the
    threshold out. Once the sets of a block are linked into groups, only sets outside
    the largest group walk, so copies in any number cost about one walk together with their trie.
 4. In clusters of several blocks, the sets outside the cluster's largest group then walk the
-   tries of all its blocks. Any link between two groups has an end outside the largest, so none is lost.
-5. Connected components over the links, carried over to all members of the classes.
+   tries of all blocks of neighbouring size classes, one by one and ``slice`` of them to a task. Any link between two groups has an end outside the largest, so none is lost.
+5. Connected components over the links, carried over to all rows of the classes.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked
 with nothing; with fewer than ``n`` words the whole sequence is the one n-gram; a null doc_id is in no
-link, and its row shows the smallest doc_id with an equal set, else null; rows that repeat a doc_id keep their
-own rows and share its links; further columns are ignored; an empty table gives no rows.
+link, and its row shows the smallest doc_id with an equal set, else null; rows that repeat a doc_id are rows of their own, each
+with the links of its own text; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgpanel.llm.common import small_side
@@ -50,6 +53,9 @@ class JaccardConfig:
     sketch_bits: int = 21
     short: int = 48
     block: int = 512
+    block_grams: int = 1 << 20
+    hubs: int = 8
+    slice: int = 4096
 
 
 def shingler(n: int):
@@ -111,7 +117,7 @@ def count_sketch(docs: DataFrame, cfg: JaccardConfig) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch, cfg: JaccardConfig) -> DataFrame:
-    """doc_id, n, digest of the set, and its prefix."""
+    """doc_id, mark, n, digest of the set, and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -127,9 +133,23 @@ def prefixes(docs: DataFrame, sketch, cfg: JaccardConfig) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
             flat = np.concatenate(heads) if heads else np.empty(0, np.uint64)
             column = pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), column], ["doc_id", "n", "digest", "head"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), column], ["doc_id", "mark", "n", "digest", "head"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, head array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, digest binary, head array<long>")
+
+
+def gram_sets(rows: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """The rows with ``grams``, the set of each text as sorted 64-bit numbers, in place of ``text``."""
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = shingler(cfg.n)
+        for b in batches:
+            made = pa.array([shingles(t.as_py()).tobytes() for t in b.column(at)], pa.binary())
+            yield b.remove_column(at).append_column("grams", made)
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
+    return rows.mapInArrow(run, ", ".join([*kept, "grams binary"]))
 
 
 class Node:
@@ -185,128 +205,221 @@ def walk(trie: Node, n: int, mask: np.ndarray, percent: int) -> Iterator[int]:
         todo.extend((c, shared, depth) for c in node.children)
 
 
-def block_links(ids: list[int], sets: list[np.ndarray], probes: list[bool], sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join the sets of one block (a spanning forest), or of the probes with the others."""
-    flat = np.concatenate(sets)
-    vocabulary, inverse = np.unique(flat, return_inverse=True)
-    rank = np.empty(len(vocabulary), np.int32)
-    rank[np.lexsort((vocabulary, -sketch[vocabulary & np.uint64(len(sketch) - 1)].astype(np.int64)))] = np.arange(len(vocabulary), dtype=np.int32)
-    local = [np.sort(x) for x in np.split(rank[inverse], np.cumsum([len(x) for x in sets])[:-1])]
-    index = [i for i in range(len(ids)) if not probes[i]]
-    trie, mask = build_trie(local, index), np.zeros(len(vocabulary), bool)
-    parent, links = list(range(len(ids))), []
+class Block:
+    """The trie of some sets, frequent n-grams first so that common passages are shared paths."""
 
-    def root(i: int) -> int:
-        while parent[i] != i:
+    def __init__(self, sets: list[np.ndarray], sketch: np.ndarray, percent: int):
+        self.percent, self.vocabulary = percent, np.unique(np.concatenate(sets))
+        self.rank = np.empty(len(self.vocabulary), np.int32)
+        often = sketch[self.vocabulary & np.uint64(len(sketch) - 1)].astype(np.int64)
+        self.rank[np.lexsort((self.vocabulary, -often))] = np.arange(len(self.vocabulary), dtype=np.int32)
+        self.trie = build_trie([np.sort(self.rank[np.searchsorted(self.vocabulary, x)]) for x in sets], list(range(len(sets))))
+        self.mask = np.zeros(len(self.vocabulary), bool)
+
+    def matches(self, grams: np.ndarray) -> list[int]:
+        """Places of the sets that reach the threshold with these n-grams."""
+        at = np.searchsorted(self.vocabulary, grams)
+        at[at == len(self.vocabulary)] = 0
+        own = self.rank[at[self.vocabulary[at] == grams]]
+        self.mask[own] = True
+        found = list(walk(self.trie, len(grams), self.mask, self.percent))
+        self.mask[own] = False
+        return found
+
+
+class Groups:
+    """Links that are new between groups of rows."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent.setdefault(i, i) != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    def match(i: int) -> None:
-        mask[local[i]] = True
-        for j in walk(trie, len(local[i]), mask, percent):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((ids[i], ids[j]))
-        mask[local[i]] = False
-
-    if any(probes):
-        for i in range(len(ids)):
-            if probes[i]:
-                match(i)
-        return links
-    done: set[int] = set()
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.root(i), self.root(j)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def block_links(ids: list[int], sets: list[np.ndarray], sketch: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join the sets of one block (a spanning forest)."""
+    block, groups, done = Block(sets, sketch, percent), Groups(), set()
     while True:
-        roots = [root(i) for i in range(len(ids))]
-        count = np.bincount(roots, minlength=len(ids))
-        biggest = int(np.argmax(count))
+        roots = [groups.root(i) for i in range(len(ids))]
+        biggest = int(np.argmax(np.bincount(roots, minlength=len(ids))))
         waiting = [i for i in range(len(ids)) if i not in done and roots[i] != biggest] if done else [0]
         if not waiting:
-            return links
+            return
         for i in waiting[:16]:
             done.add(i)
-            match(i)
+            for j in block.matches(sets[i]):
+                if groups.join(i, j):
+                    yield ids[i], ids[j]
+
+
+KEY = ["cluster", "class", "block", "slice"]
 
 
 def trie_links(rows: DataFrame, sketch, cfg: JaccardConfig) -> DataFrame:
-    """src, dst from rows (cluster, block, doc, probe, text), one trie for each cluster and block."""
+    """src, dst from rows (KEY, doc, probe, grams): one trie for each key.
+
+    Without probes the sets of a key are linked among themselves, else the probes with the others. Probes come last, so no more than the sets of one block are held.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, key, ids, sets, probes = shingler(cfg.n), None, [], [], []
+        key, ids, sets, block, groups, found = None, [], [], None, Groups(), []
+
+        def made() -> pd.DataFrame:
+            return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
-        def flush() -> pd.DataFrame:
-            links = block_links(ids, sets, probes, sketch.value, cfg.percent) if len(ids) > 1 else []
-            return pd.DataFrame(links, columns=["src", "dst"], dtype="int64")
+        def finish() -> None:
+            if block is None and len(ids) > 1:
+                found.extend(block_links(ids, sets, sketch.value, cfg.percent))
 
         for frame in frames:
-            for cluster, block, doc, probe, text in frame.itertuples(index=False):
-                if (cluster, block) != key:
-                    yield flush()
-                    key, ids, sets, probes = (cluster, block), [], [], []
-                ids.append(doc)
-                sets.append(shingles(text))
-                probes.append(probe)
-        yield flush()
-
-    dealt = rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "doc")
+            columns = [frame[c].tolist() for c in (*KEY, "doc", "probe", "grams")]
+            for cluster, kind, part, piece, doc, probe, grams in zip(*columns):
+                if (cluster, kind, part, piece) != key:
+                    finish()
+                    key, ids, sets, block, groups = (cluster, kind, part, piece), [], [], None, Groups()
+                grams = np.frombuffer(grams, np.uint64)
+                if not probe:
+                    ids.append(doc)
+                    sets.append(grams)
+                elif ids:
+                    block = block or Block(sets, sketch.value, cfg.percent)
+                    found += [(doc, ids[j]) for j in block.matches(grams) if groups.join(doc, ids[j])]
+            yield made()
+            found = []
+        finish()
+        yield made()
+
+    dealt = rows.select(*KEY, "doc", "probe", "grams").repartition(*KEY).sortWithinPartitions(*KEY, "probe", "doc")
     return dealt.mapInPandas(run, "src long, dst long")
 
 
-def _candidates(heads: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """Edges between sets that may reach the threshold together."""
+def _size_class(n: str, cfg: JaccardConfig) -> str:
+    """Sets that reach the threshold together are in one class or in neighbouring ones."""
+    return f"cast(floor(ln({n}) / {1.000001 * math.log(100 / cfg.percent)!r}D) as int)"
+
+
+def _candidates(chosen: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Edges between sets (row, n, head) that may reach the threshold together."""
     p = cfg.percent
-    entries = heads.select(F.col("doc_id").alias("doc"), "n", F.explode("head").alias("gram")).repartition("gram")
-    lists = entries.groupBy("gram").agg(F.count("*").alias("df"), F.min("doc").alias("hub")).where("df > 1")
+    entries = chosen.select(F.col("row").alias("doc"), "n", F.posexplode("head").alias("at", "gram")).repartition("gram")
+    lists = entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     live = materialize(entries.join(lists, "gram"), "lists")
-    few = live.where(F.col("df") <= cfg.short).select("gram", "doc", "n")
+    # a pair has at most as many entries in long lists as either of its sets
+    long = live.where(F.col("df") > cfg.short)
+    few = live.where(F.col("df") <= cfg.short).join(long.groupBy("doc").agg(F.count("*").alias("far")), "doc", "left").select("gram", "doc", "n", "at", F.coalesce("far", F.lit(0)).alias("far"))
     pairs = few.alias("a").join(few.alias("b"), F.expr(f"a.gram = b.gram and a.doc < b.doc and 100 * least(a.n, b.n) >= {p} * greatest(a.n, b.n)"))
-    counted = pairs.groupBy(F.col("a.doc").alias("src"), F.col("b.doc").alias("dst"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2")).agg(F.count("*").alias("c"))
-    # beyond a prefix lie ceil(t n) - 1 entries of a set
+    counted = pairs.groupBy(F.col("a.doc").alias("src"), F.col("b.doc").alias("dst")).agg(
+        F.count("*").alias("c"), F.first("a.n").alias("n1"), F.first("b.n").alias("n2"), F.min("a.at").alias("at1"), F.min("b.at").alias("at2"), F.first(F.least("a.far", "b.far")).alias("far"))
+    # beyond a prefix lie ceil(t n) - 1 entries of a set; what is shared comes after the first shared place
     beyond = f"({p} * greatest(n1, n2) + 99) div 100 - 1"
-    near = counted.where(f"(c + {beyond}) * {100 + p} >= {p} * (n1 + n2)").select("src", "dst")
-    long = live.where((F.col("df") > cfg.short) & (F.col("doc") != F.col("hub"))).select(F.col("doc").alias("src"), F.col("hub").alias("dst")).distinct()
-    return near.unionAll(long)
+    near = counted.where(f"least(c + far + {beyond}, n1 - at1, n2 - at2) * {100 + p} >= {p} * (n1 + n2)").select("src", "dst")
+
+    # sizes of partners with whom this entry could be the first shared one
+    low, high = f"({p} * n + 99) div 100", f"least(100 * n div {p}, (n - at) * {100 + p} div {p} - n)"
+    ranged = long.select("gram", "doc", "n", F.expr(low).alias("low"), F.expr(high).alias("high"), F.expr(_size_class("n", cfg)).alias("class")).where("high >= low")
+    hubs = ranged.where("high >= n").groupBy("gram", "class").agg(F.min("doc").alias("hub"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("high").alias("upto"))
+    asked = ranged.withColumn("class", F.explode(F.array("class", F.col("class") - 1)))
+    met = asked.join(hubs, ["gram", "class"]).where("doc != hub and least <= n and upto >= n and most >= low and high >= least")
+    return near.unionAll(met.select(F.col("doc").alias("src"), F.col("hub").alias("dst")).distinct())
+
+
+def _deal(texts: DataFrame, clusters: DataFrame, edges: DataFrame, cfg: JaccardConfig) -> tuple[DataFrame, bool]:
+    """Sets of clusters in their blocks (KEY, doc, probe, grams, home, n), written; whether any cluster has several blocks.
+
+    ``home`` marks the block that a set belongs to, as hubs stand in others too.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("g")).where(f"c > {cfg.block} or g > {cfg.block_grams}")
+    sizes = materialize(sizes.select("cluster"), "large", small=True)
+    if sizes.isEmpty():
+        placed = clusters.select("doc", "cluster", F.lit(0).alias("class"), F.lit(0).alias("block"), F.lit(True).alias("home"))
+        several = False
+    else:
+        several = True
+        large = clusters.join(small_side(sizes), "cluster").withColumn("class", F.expr(_size_class("n", cfg)))
+        parts = large.groupBy("cluster", "class").agg(F.expr(f"cast(ceil(greatest(count(*) / {cfg.block}, sum(n) / {cfg.block_grams})) as int)").alias("blocks"))
+        parts = materialize(parts, "parts", small=True)
+        homes = large.join(small_side(parts), ["cluster", "class"]).select("doc", "cluster", "class", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"), F.lit(True).alias("home"))
+        # the sets with the most candidate links of each cluster stand in all blocks of their own and the neighbouring classes
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("doc")).groupBy("doc").agg(F.count("*").alias("degree"))
+        ranked = large.join(ends, "doc").withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), "doc"))).where(F.col("r") <= cfg.hubs)
+        near = ranked.select("doc", "cluster", F.explode(F.expr("array(class - 1, class, class + 1)")).alias("class")).join(parts, ["cluster", "class"])
+        guests = near.select("doc", "cluster", "class", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(False).alias("home"))
+        guests = guests.join(homes.select("doc", "class", "block"), ["doc", "class", "block"], "left_anti").select(homes.columns)
+        single = clusters.join(small_side(sizes), "cluster", "left_anti").select("doc", "cluster", F.lit(0).alias("class"), F.lit(0).alias("block"), F.lit(True).alias("home"))
+        placed = single.unionAll(homes).unionAll(guests)
+    placed = small_side(materialize(placed, "placed", small=True))
+    rows = texts.join(placed, "doc").select("cluster", "class", "block", F.lit(0).alias("slice"), "doc", F.lit(False).alias("probe"), "home", "text")
+    return materialize(gram_sets(rows, cfg), "sets"), several
+
+
+def _outside_links(sets: DataFrame, links: DataFrame, large: DataFrame, sketch, cfg: JaccardConfig) -> DataFrame:
+    """Links between groups of clusters of several blocks: sets outside the largest group walk the tries of neighbouring classes."""
+    groups = materialize(connected_components(links).toDF("doc", "grp"), "groups", small=True)
+    members = sets.where("home").select("cluster", "class", "block", "doc").join(large, "cluster", "left_semi").join(small_side(groups), "doc", "left").withColumn("grp", F.coalesce("grp", "doc"))
+    members = materialize(members, "grouped", small=True)
+    largest = members.groupBy("cluster", "grp").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("grp", F.struct("c", "grp")).alias("top"))
+    outside = members.join(small_side(materialize(largest, "largest", small=True)), "cluster").where("grp != top")
+    blocks = members.groupBy("cluster", "class", "block").agg(F.count("*").alias("members"))
+    asked = outside.select("cluster", "doc", F.explode(F.expr("array(class - 1, class, class + 1)")).alias("class"))
+    slices = asked.groupBy("cluster", "class").agg(F.ceil(F.count("*") / cfg.slice).cast("int").alias("slices"))
+    plan = materialize(blocks.join(slices, ["cluster", "class"]).select("cluster", "class", "block", "slices"), "probed", small=True)
+    index = sets.where("home").join(small_side(plan), ["cluster", "class", "block"]).withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)")))
+    walks = asked.join(small_side(plan), ["cluster", "class"]).select("cluster", "class", "block", F.pmod(F.xxhash64("doc", F.lit(1)), "slices").cast("int").alias("slice"), "doc")
+    probes = sets.where("home").select("doc", "grams").join(walks, "doc").withColumn("probe", F.lit(True))
+    columns = [*KEY, "doc", "probe", "grams"]
+    return materialize(trie_links(index.select(columns).unionAll(probes.select(columns)), sketch, cfg), "links")
+
+
+def jaccard_rows(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles and component_id for every row of docs."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    sketch = spark.sparkContext.broadcast(count_sketch(docs, cfg))
+    # the number of a row is fixed by the written table
+    heads = materialize(prefixes(docs, sketch, cfg).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    # broadcast if small, else a class of very many copies can be split between tasks
+    classes = heads.where("n > 0").groupBy("digest").agg(F.min(F.expr("if(doc_id is null, null, row)")).alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
+    classes = materialize(classes, "classes", small=True)
+    chosen = heads.where("n > 0 and doc_id is not null").join(small_side(classes), "digest", "left").where("rep is null or rep = row").withColumn("low", F.coalesce("low", "doc_id"))
+
+    edges = materialize(_candidates(chosen, cfg), "edges")
+    found = materialize(connected_components(edges).toDF("row", "cluster"), "found", small=True)
+    clusters = materialize(chosen.select("row", "n", "doc_id", "mark", "digest", "low").join(small_side(found), "row").withColumnRenamed("row", "doc"), "clusters", small=True)
+    # rows of one doc_id with equal texts are one class, so these two name a chosen row; a row that is repeated is taken once
+    named = small_side(clusters.select("doc_id", "mark", "doc"))
+    repeated = heads.select("doc_id", "mark").join(named, ["doc_id", "mark"]).groupBy("doc").agg(F.count("*").alias("c")).where("c > 1")
+    repeated = materialize(repeated.select("doc"), "repeated", small=True)
+    texts = docs.join(named, ["doc_id", "mark"]).select("doc", "text")
+    if not repeated.isEmpty():
+        once = texts.join(small_side(repeated), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+        texts = texts.join(small_side(repeated), "doc", "left_anti").unionAll(once)
+    sets, several = _deal(texts, clusters.select("doc", "n", "cluster"), edges, cfg)
+    links = materialize(trie_links(sets, sketch, cfg), "links")
+    if several:
+        large = sets.where("class != 0 or block != 0").select("cluster").distinct()
+        links = links.unionAll(_outside_links(sets, links, small_side(materialize(large, "large", small=True)), sketch, cfg))
+
+    joined = connected_components(links).toDF("doc", "component")
+    linked = clusters.select("doc", "digest", "low").join(joined, "doc")
+    lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    answers = linked.join(lows, "component").select("digest", "component_id")
+    answers = answers.unionAll(classes.join(linked.select("digest"), "digest", "left_anti").select("digest", "low"))
+    answers = small_side(materialize(answers, "components", small=True))
+    discard(sets)
+    out = heads.select("doc_id", "mark", "n", "digest").join(answers, "digest", "left")
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = spark.sparkContext.broadcast(count_sketch(docs, cfg))
-    heads = materialize(prefixes(docs, sketch, cfg), "prefixes")
-    # a written table on the right: broadcast if small, else a class of very many copies can be split between tasks
-    classes = heads.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("digest", "rep")
-    classes = small_side(materialize(classes, "classes"))
-    rep = F.coalesce("rep", F.when(F.col("n") > 0, F.col("doc_id"))).alias("rep")
-    members = materialize(heads.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", rep), "members")
-    copies = materialize(members.where("doc_id != rep").select("doc_id").distinct(), "copies")
-    chosen = heads.where("n > 0 and doc_id is not null").join(small_side(copies), "doc_id", "left_anti")
-
-    clusters = materialize(connected_components(_candidates(chosen, cfg)).toDF("doc", "cluster"), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    sizes = sizes.select("cluster", F.ceil(F.col("size") / cfg.block).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    placed = clusters.join(sizes, "cluster").select("doc", "cluster", block.alias("block"), "blocks")
-    texts = docs.withColumnRenamed("doc_id", "doc")
-    placed = small_side(materialize(placed, "placed"))
-    rows = texts.join(placed, "doc").select("cluster", "block", "doc", F.lit(False).alias("probe"), "text", "blocks")
-    rows = materialize(rows, "blocks")
-    links = materialize(trie_links(rows.drop("blocks"), sketch, cfg), "links")
-
-    if not rows.where("blocks > 1").isEmpty():
-        groups = connected_components(links).toDF("doc", "grp")
-        many = rows.where("blocks > 1").select("cluster", "block", "doc", "text", "blocks").join(groups, "doc", "left")
-        many = many.withColumn("grp", F.coalesce("grp", "doc"))
-        largest = many.groupBy("cluster", "grp").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("grp", F.struct("c", "grp")).alias("top"))
-        outside = many.join(largest, "cluster").where("grp != top")
-        probes = outside.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc", F.lit(True).alias("probe"), "text")
-        index = many.select("cluster", "block", "doc", F.lit(False).alias("probe"), "text")
-        more = materialize(trie_links(index.unionAll(probes), sketch, cfg), "links")
-        # the doc walks its own block's trie as well, where it meets itself
-        links = links.unionAll(more.where("src != dst"))
-
-    joined = small_side(materialize(connected_components(links).toDF("rep", "component_id"), "components"))
-    for done in (rows, heads):
-        discard(done)
-    return members.join(joined, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
+    return jaccard_rows(docs, cfg).drop("mark")

@@ -112,6 +112,49 @@ def test_jaccard(spark, docs, texts, n, percent, short, block):
     assert jaccard.jaccard_components(none_of(docs), cfg).count() == 0
 
 
+def counted_links(spark, docs, cfg, monkeypatch):
+    """Components, and how many probes walked tries of other blocks."""
+    seen, whole = [], jaccard.trie_links
+
+    def counting(rows, sketch, cfg):
+        seen.append(rows.where("probe").count())
+        return whole(rows, sketch, cfg)
+
+    monkeypatch.setattr(jaccard, "trie_links", counting)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, cfg).collect()}
+    return got, sum(seen)
+
+
+def test_jaccard_large_groups(spark, monkeypatch):
+    """A passage in many texts that are otherwise different makes no cluster; a large group of near copies few probes."""
+    passage = " ".join(f"p{k}" for k in range(100))
+    shared = [(k, passage + " " + " ".join(f"u{k}x{j}" for j in range(14))) for k in range(1500)]
+    base = [f"b{k}" for k in range(120)]
+    near = [(10_000 + k, " ".join(f"n{k}" if j == k % 110 else w for j, w in enumerate(base))) for k in range(1200)]
+    docs = spark.createDataFrame(shared + near, "doc_id long, text string").repartition(4)
+    cfg = jaccard.JaccardConfig(block=64)
+    got, probes = counted_links(spark, docs, cfg, monkeypatch)
+    assert got == {i: i for i, _ in shared} | {i: 10_000 for i, _ in near}
+    # without hubs all sets but a block's would walk each of the 19 blocks
+    assert probes < len(near)
+    # a shorter tail: every text now links with the passage alone
+    docs = spark.createDataFrame([(i, " ".join(t.split()[:-3])) for i, t in shared[:400]] + [(500, passage)], "doc_id long, text string")
+    got, probes = counted_links(spark, docs, cfg, monkeypatch)
+    assert set(got.values()) == {0} and probes < 400
+
+
+def test_jaccard_repeated_ids(spark):
+    """Rows that repeat a doc_id go by their own texts."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a), (7, b), (9, c), (9, c), (9, c), (8, c + " tail"), (None, b), (None, "q r s t u"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit(1))
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs, jaccard.JaccardConfig(block=2)).collect())
+    assert got == Counter([(5, 3), (5, 5), (3, 3), (7, 5), (9, 8), (9, 8), (9, 8), (8, 8), (None, 5), (None, None), (4, 4)])
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(5, b), (3, a), (8, c + " tail"), (None, b), (None, "q r s t u"), (4, None)])
+
+
 def brute_leaks(rows, items, cfg):
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     items, out = [(i, words(t)) for i, t in items], set()
