@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgpanel.llm.common import without
+from orgpanel.llm.common import small_side, without
 from orgpanel.llm.decontam import DecontamConfig, clean_documents
-from orgpanel.llm.jaccard import JaccardConfig, jaccard_components
+from orgpanel.llm.jaccard import JaccardConfig, jaccard_rows
 from orgpanel.llm.mixing import MixConfig, mix_sources
 from orgpanel.llm.quality import LEARN, QualityConfig, accepted, fit
 from orgpanel.llm.token_codes import TokenConfig, read_tokens, write_tokens
@@ -28,16 +28,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8): the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document and the first stays; rows without a doc_id stay.
+    A row goes if its text is a copy of one with a smaller doc_id. Of rows that repeat a doc_id and stay, one is
+    left: that with the smallest hash of the text, then of the row. Rows without a doc_id stay.
     """
-    found = jaccard_components(docs, JaccardConfig(n=5, percent=80))
-    dropped = materialize(found.where("component_id != doc_id").select("doc_id").distinct(), "copies")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    repeated = materialize(repeated, "repeated")
-    kept = without(docs, dropped)
+    found = jaccard_rows(docs, JaccardConfig(n=5, percent=80)).where("doc_id is not null")
+    dropped = materialize(found.where("component_id != doc_id").select("doc_id", "mark").distinct(), "copies", small=True)
+    repeated = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    repeated = materialize(repeated, "repeated", small=True)
+    gone = small_side(dropped)
+    kept = docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["mark"]), "left_anti")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    row = F.struct(*[kept[f"`{c}`"] for c in docs.columns])
+    first = F.min_by(row, F.struct(F.xxhash64(kept["text"]), F.xxhash64(row)))
+    again = kept.join(small_side(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
     return without(kept, repeated).unionByName(again)
 
 
