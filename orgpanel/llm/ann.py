@@ -2,15 +2,17 @@
 
 A node of a tree projects its vectors on a random direction and parts them at the median. Directions come
 from a seed; medians are fitted on at most ``sample`` vectors, those with the smallest hash of vec_id (the documented bound), so the forest's size is bounded too. Every vector is then
-put into one leaf of each tree.
+put into one leaf of each tree. Vectors get one more component that gives all the length of the longest, and queries a zero there, so the largest
+inner product is the smallest distance.
 
 All trees of a query share one priority queue: leaves come out in order of the squared distance to the nearest
 half-spaces on their path that the query is not in, until they hold ``reach`` of all vectors together. Leaves count as of the whole table, not of the sample.
-The candidates in those leaves are ranked by the exact inner product in double precision. ``reach`` is high as the given vectors
-have no structure to use; recall against brute force is measured in the tests.
+A half-space farther away than the query's k-th neighbour in the sample holds none of its nearest and is never entered, so vectors
+in clusters need few leaves; those without structure read up to ``reach``, which is high for that reason.
+The candidates in those leaves are ranked by the exact inner product in double precision. Recall against brute force is measured in the tests.
 
 Equal vectors are one entry of the index with the ids that can be among the nearest of any query (the k + 1 smallest). A
-leaf with more entries than ``block`` is dealt in blocks, and blocks go to shards; a task holds one shard, and gives k rows a query.
+leaf with more entries than ``block`` is dealt in blocks, and blocks go to shards; a task holds one shard and at most about ``slice`` queries, and gives k rows a query.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, take no part, neither as query nor as candidate; null ids
 likewise; vectors of other lengths than most are left out (length as of the majority, ties to the longer); rows that repeat an id with the same vector
@@ -34,15 +36,22 @@ from orgpanel.storage import materialize
 @dataclass(frozen=True)
 class AnnConfig:
     k: int = 20
-    trees: int = 4
-    leaf: int = 512
+    trees: int = 8
+    leaf: int = 64
     sample: int = 16_384
-    reach: float = 1.6
+    reach: float = 1.4
     block: int = 4096
     shard: int = 65_536
+    slice: int = 4096
     seed: int = 7
 
 
+def lifted(vectors: np.ndarray, longest: float | None = None) -> np.ndarray:
+    """With one more component: for entries what they lack to the squared length ``longest``, for queries 0."""
+    more = np.zeros(len(vectors)) if longest is None else np.sqrt(np.maximum(0, longest - (vectors * vectors).sum(axis=1)))
+    return np.column_stack([vectors, more]).astype(np.float32)
+
+
 class Forest:
     """Directions and medians of all trees, level by level."""
 
@@ -74,8 +83,8 @@ class Forest:
                 out[t] = 2 * at + 1 + (np.einsum("ij,ij->i", vectors, self.planes[t, at]) >= self.cuts[t, at])
         return out - ((1 << self.depth) - 1)
 
-    def visit(self, q: np.ndarray, counts: np.ndarray, want: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue, until the leaves hold ``want`` vectors."""
+    def visit(self, q: np.ndarray, counts: np.ndarray, want: float, radius: float = np.inf) -> list[tuple[int, int]]:
+        """(tree, leaf) in the order of the shared queue, until the leaves hold ``want`` vectors or all others lie beyond ``radius``."""
         if not self.depth:
             return [(0, 0)]
         margin = self.planes @ q - self.cuts
@@ -86,20 +95,33 @@ class Forest:
             while node < nodes:
                 m = float(margin[t, node])
                 near, far = (2 * node + 2, 2 * node + 1) if m >= 0 else (2 * node + 1, 2 * node + 2)
-                heapq.heappush(queue, (cost + m * m, t, far))
+                if abs(m) <= radius:
+                    heapq.heappush(queue, (cost + m * m, t, far))
                 node = near
             got += counts[t, node - nodes]
             out.append((t, node - nodes))
         return out
 
 
+def radii(queries: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """For each (lifted) query an upper bound of the distance of its k-th neighbour: that of the (k + 1)-th in the sample, as the query may be in it."""
+    if len(sample) <= k:
+        return np.full(len(queries), np.inf)
+    out, size = np.empty(len(queries)), (sample * sample).sum(axis=1)
+    for at in range(0, len(queries), 256):
+        q = queries[at : at + 256]
+        far = (q * q).sum(axis=1)[:, None] + size[None, :] - 2 * q @ sample.T
+        out[at : at + 256] = np.partition(far, k, axis=1)[:, k]
+    return np.sqrt(np.maximum(out, 0)) * 1.001 + 1e-3
+
+
 def nearest(vectors: DataFrame, query: str, cfg: AnnConfig = AnnConfig()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that ``query`` (a condition on vec_id) picks."""
     spark = vectors.sparkSession
     fine = "size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x != 0)"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(f"vec_id is not null and v is not null and {fine}")
     rows = materialize(rows.distinct(), "vectors")
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("d")).limit(1).collect()
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c"), F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("longest")).orderBy(F.desc("c"), F.desc("d")).limit(1).collect()
     empty = "query_id long, rank int, vec_id long, score double"
     if not lengths:
         return spark.createDataFrame([], empty)
@@ -114,13 +136,15 @@ def nearest(vectors: DataFrame, query: str, cfg: AnnConfig = AnnConfig()) -> Dat
 
     count = entries.count()
     drawn = entries.orderBy(F.xxhash64("entry"), "entry").limit(cfg.sample).select("entry", "v").collect()
-    forest = Forest(np.array([r.v for r in drawn], np.float32), count, cfg)
-    shared = spark.sparkContext.broadcast(forest)
+    longest = lengths[0].longest
+    sampled = lifted(np.array([r.v for r in drawn]), longest)
+    forest = Forest(sampled, count, cfg)
+    shared, known = spark.sparkContext.broadcast(forest), spark.sparkContext.broadcast(sampled)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                leaf = shared.value.leaves(np.array(f.v.tolist(), np.float32))
+                leaf = shared.value.leaves(lifted(np.array(f.v.tolist()), longest))
                 for t in range(len(leaf)):
                     yield f.assign(tree=t, leaf=leaf[t])
 
@@ -137,22 +161,27 @@ def nearest(vectors: DataFrame, query: str, cfg: AnnConfig = AnnConfig()) -> Dat
     leaves, blocks = 1 << forest.depth, int(-(-counts.max() // cfg.block))
     shards = max(1, -(-int(counts.sum()) // cfg.shard))
     mixed = f"code % 1073741824 * 2654435761 % 4294967296 div 1024 % {shards}"
+    asked = rows.where(query)
+    slices = max(1, -(-asked.count() // cfg.slice))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = counted.value
         for f in frames:
-            for q, v in zip(f.vec_id, f.v):
-                found = shared.value.visit(np.array(v, np.float32), n, cfg.reach * count)
+            if not len(f):
+                continue
+            points = lifted(np.array(f.v.tolist()))
+            for q, v, point, radius in zip(f.vec_id, f.v, points, radii(points, known.value, cfg.k)):
+                found = shared.value.visit(point, n, cfg.reach * count, radius)
                 codes = np.array([(t * leaves + leaf) * blocks + b for t, leaf in found for b in range(-(-int(n[t, leaf]) // cfg.block))], np.int64)
                 at = codes % 1073741824 * 2654435761 % 4294967296 // 1024 % shards
                 own = [(int(k), codes[at == k]) for k in np.unique(at)]
-                yield pd.DataFrame({"shard": [k for k, _ in own], "query_id": q, "v": [v] * len(own), "codes": [c for _, c in own]})
+                yield pd.DataFrame({"shard": [k for k, _ in own], "slice": q * 2654435761 % 4294967296 // 1024 % slices, "query_id": q, "v": [v] * len(own), "codes": [c for _, c in own]})
 
-    probes = rows.where(query).mapInPandas(search, "shard long, query_id long, v array<double>, codes array<long>")
+    probes = asked.mapInPandas(search, "shard long, slice long, query_id long, v array<double>, codes array<long>")
     per_leaf = placed.groupBy("tree", "leaf").agg(F.count("*").alias("c"))
     part = f"pmod(xxhash64(entry), cast(ceil(c / {cfg.block}) as bigint))"
     index = placed.join(F.broadcast(per_leaf), ["tree", "leaf"]).withColumn("code", F.expr(f"(tree * {leaves}L + leaf) * {blocks}L + {part}"))
-    index = index.select(F.expr(mixed).alias("shard"), "code", "v", "ids")
+    index = index.select(F.expr(mixed).alias("shard"), F.explode(F.expr(f"sequence(0L, {slices - 1}L)")).alias("slice"), "code", "v", "ids")
 
     def rerank(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         """The k best of each query among the shard's candidates, leaf by leaf: one product for all queries that visit it."""
@@ -184,7 +213,7 @@ def nearest(vectors: DataFrame, query: str, cfg: AnnConfig = AnnConfig()) -> Dat
         made = made[made.query_id != made.vec_id].drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return made.groupby("query_id").head(cfg.k)
 
-    near = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    near = probes.groupBy("shard", "slice").cogroup(index.groupBy("shard", "slice")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cfg.k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

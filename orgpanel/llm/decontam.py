@@ -14,7 +14,8 @@ DataFrame and SQL functions are used.
 
 Edge cases: null and empty texts and items have no words and never match; items of
 a few words are found within longer texts too; repeated rows of
-a doc_id or an item_id count once, and their different texts are all tried; null ids are left out of the pairs; other columns are
+a doc_id or an item_id count once, and their different texts are all tried; null ids are left out of the pairs, but rows without a doc_id are
+judged by their text when leaks are removed; other columns are
 ignored; an empty table on either side gives no pairs.
 """
 
@@ -27,7 +28,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orgpanel.llm.common import small_side, without
+from orgpanel.llm.common import small_side
 from orgpanel.storage import materialize
 
 
@@ -98,7 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamC
     hits = materialize(hits, "hits")
 
     by_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "n", "shift")).alias("hits"))
-    hit_ids = materialize(hits.select("doc_id").distinct(), "hit_ids")
+    hit_ids = materialize(hits.select("doc_id").distinct(), "hit_ids", small=True)
     source = docs.where("doc_id is not null").select("doc_id", "text").join(small_side(hit_ids), "doc_id", "left_semi")
     found = by_doc.join(source, "doc_id").select("doc_id", "hits", words_of(F.col("text")).alias("w"))
     # only the stretch of the text beside the item goes on with each hit
@@ -115,8 +116,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamC
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
-    """The rows of docs without a leak, all columns kept; rows with a null doc_id are kept."""
-    return without(docs, materialize(leaks(docs, benchmark, cfg).select("doc_id").distinct(), "leaks"))
+    """The rows of docs without a leak, all columns kept. Each goes by its own text, with or without a doc_id."""
+    key = F.xxhash64(docs["text"])
+    found = leaks(docs.select(key.alias("doc_id"), "text"), benchmark, cfg).select(F.col("doc_id").alias("leaked")).distinct()
+    found = small_side(materialize(found, "leaks", small=True))
+    return docs.join(found, key == found["leaked"], "left_anti")
 
 
 def leak_sql(cfg: DecontamConfig = DecontamConfig()) -> str:

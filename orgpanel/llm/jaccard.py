@@ -328,6 +328,8 @@ def _candidates(chosen: DataFrame, cfg: JaccardConfig) -> DataFrame:
     low, high = f"({p} * n + 99) div 100", f"least(100 * n div {p}, (n - at) * {100 + p} div {p} - n)"
     ranged = long.select("gram", "doc", "n", F.expr(low).alias("low"), F.expr(high).alias("high"), F.expr(_size_class("n", cfg)).alias("class")).where("high >= low")
     hubs = ranged.where("high >= n").groupBy("gram", "class").agg(F.min("doc").alias("hub"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("high").alias("upto"))
+    # an n-gram of very many sets has one row here for each class of sizes
+    hubs = small_side(materialize(hubs, "hubs", small=True))
     asked = ranged.withColumn("class", F.explode(F.array("class", F.col("class") - 1)))
     met = asked.join(hubs, ["gram", "class"]).where("doc != hub and least <= n and upto >= n and most >= low and high >= least")
     return near.unionAll(met.select(F.col("doc").alias("src"), F.col("hub").alias("dst")).distinct())

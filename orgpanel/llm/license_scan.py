@@ -3,7 +3,8 @@
 A text is brought to a canonical form: lower case, copyright lines, "All rights reserved" lines and the title at its head out,
 equivalent spellings made one, punctuation to spaces, white space collapsed. Its md5 is joined with the digests of known licences. The whole text of each document is looked up, and each of its lines on
 its own, as short notices stand within longer texts. The table of known digests comes from this module and the texts in
-``licenses``, so its broadcast has a fixed size. A text of several lines within a longer document is not found.
+``licenses``, so its broadcast has a fixed size. A text of several lines within a longer document is not found. All known forms hold one of the
+words in ``GATE``, so texts and lines without them are not brought to their form.
 
 Edge cases: null and empty texts have an empty form, which no licence has; repeated rows count once for each
 doc_id; null doc_ids are left out; other columns are ignored; an empty table gives no rows.
@@ -132,6 +133,10 @@ def canonical_text(text: str) -> str:
     return form.strip(" ")
 
 
+#: Each known form holds one of these; both spellings of the first.
+GATE = "licen[cs]e|permission|public domain|redistribut"
+
+
 def known_digests() -> list[tuple[str, str]]:
     """Each digest once; of texts with one canonical form the first gives the name."""
     known: dict[str, str] = {}
@@ -141,18 +146,18 @@ def known_digests() -> list[tuple[str, str]]:
 
 
 def license_matches(docs: DataFrame) -> DataFrame:
-    """doc_id, whole (the licence that the whole text is, or null), licenses (all found, comma-joined), n_lines."""
+    """doc_id, whole (the licence that the whole text is, or null), licenses (all found, comma-joined), n_lines (lines that are a known notice)."""
     values = ", ".join(f"('{d}', '{n}')" for d, n in known_digests())
     known = F.broadcast(docs.sparkSession.sql(f"select * from values {values} as t(digest, license)"))
-    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.lower("text").rlike(GATE))
     whole = texts.select("doc_id", F.lit(True).alias("whole"), F.md5(canonical(F.col("text")).cast("binary")).alias("digest"))
-    lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.lower("line").rlike(GATE))
     lines = lines.select("doc_id", F.lit(False).alias("whole"), F.md5(canonical(F.col("line")).cast("binary")).alias("digest"))
     found = whole.join(known, "digest").unionAll(lines.join(known, "digest"))
     return found.groupBy("doc_id").agg(
         F.max(F.when(F.col("whole"), F.col("license"))).alias("whole"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
-        F.count_distinct(F.when(~F.col("whole"), F.col("license"))).alias("n_lines"),
+        F.count_if(~F.col("whole")).alias("n_lines"),
     )
 
 
@@ -173,5 +178,5 @@ def license_sql() -> str:
             UNION ALL
             SELECT doc_id, false, {form('line')} FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL))
         SELECT doc_id, max(CASE WHEN w THEN license END) AS whole, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
-               count(DISTINCT CASE WHEN NOT w THEN license END) AS n_lines
+               count(*) FILTER (NOT w) AS n_lines
         FROM units JOIN known USING (digest) GROUP BY doc_id"""

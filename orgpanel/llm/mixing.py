@@ -6,25 +6,28 @@ released at floor(j D / a_i) and due at ceil((j + 1) D / a_i). At each slot the
 with the earliest deadline goes next, ties to the smaller source name. All windows are met (their fluid schedule
 fills every slot), so at every slot each source is less than one block from its target.
 
-A period is a fold over its D slots inside one row (SQL ``aggregate``); all full periods with the same running
-sources are alike. When a source ends within a period, that period is scheduled with what is left of it as its weight,
+All full periods with the same running sources are alike, so one is scheduled for each kind of period, from one count for each source. When a source ends within a
+period, that period is scheduled with what is left of it as its weight,
 and the others go on with their weights. So there are at most two
-patterns for each listed source, and they come from one count for each source. Every document gets
-exactly one place; none is dropped or repeated.
+kinds for each source, and the plan has at most 2 ``max_sources`` squared entries. Every document gets
+exactly one place from 0 without gaps; none is dropped or repeated.
 
-Ranks within a source come from hash ranges of doc_id: each (source, range) is numbered on its own
-and offset by the counts before it, so a source that holds a third of all rows is numbered by many
-tasks. Only DataFrame and SQL functions are used.
+Ranks within a source come from ranges of a hash of the row: each (source, range) is numbered on its own
+and offset by the counts before it, in two steps of about the square root of their number, so a source that holds a third of all rows is numbered by many
+tasks. Only DataFrame and SQL functions run on rows, and only hashes and the columns asked for are shuffled.
 
 Edge cases: sources without a weight, null among them, share ``default`` as weight each,
-up to ``max_sources`` distinct names (the documented bound of the source counts on the driver; more
-raise an error); a weight below 1 is an error; null doc_ids and repeated rows are placed like others, in an
-order fixed by a hash of the whole row; a further column keeps its value, also one named like those used here;
+up to ``max_sources`` distinct names (the documented bound of the counts and the plan on the driver; more
+raise an error); a weight below 1 is an error; null and repeated doc_ids are placed like others; rows that are equal in all columns
+stand side by side within their source; a further column keeps its value, also one named like those used here;
 an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,7 +39,7 @@ class MixConfig:
     weights: dict[str, int] = field(default_factory=lambda: {"src0": 6})
     default: int = 2
     block_docs: int = 16
-    max_sources: int = 10_000
+    max_sources: int = 512
     range_docs: int = 1_000
 
 
@@ -60,30 +63,35 @@ def plan_periods(blocks: dict[str, int], weight: dict[str, int]) -> list[tuple[i
     return out
 
 
-#: One period by earliest deadline first, from arrays ``share`` (weights) and ``names`` in order.
-PERIOD = """
-aggregate(
-  sequence(0, total - 1),
-  named_struct('done', transform(share, a -> 0L), 'plan', cast(array() as array<struct<i:int, j:bigint>>)),
-  (acc, t) -> named_struct(
-    'done', transform(acc.done, (c, i) -> c + if(i = {pick}, 1L, 0L)),
-    'plan', concat(acc.plan, transform(array({pick}), k -> named_struct('i', k, 'j', acc.done[k])))),
-  acc -> acc.plan)
-"""
-PICK = """array_min(transform(
-      filter(transform(share, (a, i) -> named_struct('a', cast(a as bigint), 'i', i)),
-             x -> acc.done[x.i] < x.a and acc.done[x.i] * total div x.a <= t),
-      x -> named_struct('due', ((acc.done[x.i] + 1) * total + x.a - 1) div x.a, 'i', x.i))).i"""
+def schedule(share: dict[str, int]) -> dict[str, list[int]]:
+    """The slots of each source's blocks in one period, earliest deadline first."""
+    total, out = sum(share.values()), {s: [] for s in share}
+    later, ready = [(0, s) for s in sorted(share)], []
+    for t in range(total):
+        while later and later[0][0] <= t:
+            s = heapq.heappop(later)[1]
+            heapq.heappush(ready, (-(-(len(out[s]) + 1) * total // share[s]), s))
+        s = heapq.heappop(ready)[1]
+        out[s].append(t)
+        if len(out[s]) < share[s]:
+            heapq.heappush(later, (len(out[s]) * total // share[s], s))
+    return out
+
 
+def plan_spans(periods: list[tuple[int, int, int, dict[str, int]]]) -> dict[str, list[dict]]:
+    """For each source its runs of blocks: blocks lo to hi (end exclusive), ``a`` in each period of ``total`` slots from ``slot`` on, at ``slots``."""
+    spans: dict[str, list[dict]] = {}
+    for start, end, slot, share in periods:
+        for s, slots in schedule(share).items():
+            own = spans.setdefault(s, [])
+            lo = own[-1]["hi"] if own else 0
+            own.append({"lo": lo, "hi": lo + share[s] * (end - start), "a": share[s], "slot": slot, "total": sum(share.values()), "slots": slots})
+    return spans
 
-def period_slots(spark, periods: list[tuple[int, int, int, dict[str, int]]]) -> DataFrame:
-    """(pattern, src, j, offset): the slot of each block within its kind of period."""
-    rows = [(k, sorted(share), [share[s] for s in sorted(share)], sum(share.values())) for k, (_, _, _, share) in enumerate(periods)]
-    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    values = ", ".join(f"({k}, array({', '.join(map(quote, names))}), array({', '.join(map(str, share))}), {total}L)" for k, names, share, total in rows)
-    table = spark.sql(f"select * from values {values} as t(pattern, names, share, total)")
-    plan = table.select("pattern", "names", F.expr(PERIOD.replace("{pick}", PICK)).alias("plan"))
-    return plan.select("pattern", "names", F.posexplode("plan").alias("offset", "b")).selectExpr("pattern", "names[b.i] as src", "b.j as j", "offset")
+
+def slot_of(spans: list[dict], block: int) -> int:
+    x = next(x for x in spans if x["lo"] <= block < x["hi"])
+    return x["slot"] + (block - x["lo"]) // x["a"] * x["total"] + x["slots"][(block - x["lo"]) % x["a"]]
 
 
 def source_key(source: Column) -> Column:
@@ -91,46 +99,46 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def mix_order(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
-    """(row, mix_pos): every row of docs as a struct with its place in the mixture, from 0."""
-    spark = docs.sparkSession
+SPANS = "array<struct<src:string,spans:array<struct<lo:bigint,hi:bigint,a:bigint,slot:bigint,total:bigint,slots:array<bigint>>>>>"
+
+
+def mix_order(docs: DataFrame, cfg: MixConfig = MixConfig(), keep: list[str] | None = None) -> DataFrame:
+    """(row, mix_pos, slot): every row of docs, or its columns ``keep``, as a struct with its place in the mixture, from 0, and its block's."""
     if min([cfg.default, *cfg.weights.values()]) < 1 or cfg.block_docs < 1:
         raise ValueError("weights and block_docs are at least 1")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(docs["source"]).alias("src"), F.xxhash64(docs["doc_id"]).alias("h"), docs["doc_id"].alias("id"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), source_key(docs["source"]).alias("src"), F.xxhash64(whole).alias("h"))
     counts = rows.groupBy("src").agg(F.count("*").alias("n")).limit(cfg.max_sources + 1).collect()
     if len(counts) > cfg.max_sources:
         raise ValueError(f"more than {cfg.max_sources} sources")
-    total = sum(r.n for r in counts)
+    if not counts:
+        return rows.select("row", F.lit(0).cast("long").alias("mix_pos"), F.lit(0).cast("long").alias("slot"))
     blocks = {r.src: -(-r.n // cfg.block_docs) for r in counts}
     weight = {s: cfg.weights.get(s[1:], cfg.default) if s[0] == "s" else cfg.default for s in blocks}
-    periods = plan_periods(blocks, weight)
-    if not periods:
-        return rows.select("row", F.lit(0).cast("long").alias("mix_pos"))
+    spans = plan_spans(plan_periods(blocks, weight))
+    # the last block of a source may be short; all that come later move up
+    short = sorted((slot_of(spans[r.src], blocks[r.src] - 1), blocks[r.src] * cfg.block_docs - r.n) for r in counts)
 
-    ranges = max(1, total // cfg.range_docs)
-    width = (1 << 64) // ranges + 1
+    ranges = max(1, sum(r.n for r in counts) // cfg.range_docs)
+    width, wide = (1 << 64) // ranges + 1, math.isqrt(ranges) + 1
     rows = rows.withColumn("part", F.expr(f"cast((cast(h as decimal(20,0)) + 9223372036854775808) div {width} as int)"))
-    sizes = rows.groupBy("src", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("src", "part", F.coalesce(before, F.lit(0)).alias("base"))
-    number = F.row_number().over(Window.partitionBy("src", "part").orderBy("h", "id", F.xxhash64("row")))
+    sizes = rows.groupBy("src", "part").agg(F.count("*").alias("n")).withColumn("top", F.expr(f"part div {wide}"))
+    tops = sizes.groupBy("src", "top").agg(F.sum("n").alias("n"))
+    before = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("src", "top", F.coalesce(F.sum("n").over(before("src").orderBy("top")), F.lit(0)).alias("high"))
+    sizes = sizes.select("src", "part", "top", F.coalesce(F.sum("n").over(before("src", "top").orderBy("part")), F.lit(0)).alias("low"))
+    offsets = sizes.join(tops, ["src", "top"]).select("src", "part", (F.col("high") + F.col("low")).alias("base"))
+    number = F.row_number().over(Window.partitionBy("src", "part").orderBy("h", *([F.col("row.doc_id")] if "doc_id" in (keep or docs.columns) else [])))
     ranked = rows.withColumn("k", number).join(offsets, ["src", "part"]).withColumn("rank", F.col("base") + F.col("k") - 1)
     ranked = ranked.withColumn("block", F.expr(f"rank div {cfg.block_docs}"))
 
-    # the period and kind of each block: at most two kinds for each source, so plain cases
-    first: dict[str, list] = {s: [] for s in blocks}
-    for k, (start, end, slot, share) in enumerate(periods):
-        for s, a in share.items():
-            seen = first[s][-1][1] if first[s] else 0
-            first[s].append((seen, seen + a * (end - start), a, k, slot, sum(share.values())))
-    quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    values = ", ".join(f"({quote(s)}, array({', '.join('named_struct(' + ', '.join(f'{q!r}, {v}L' for q, v in zip(('lo', 'hi', 'a', 'pattern', 'slot', 'total'), x)) + ')' for x in spans)}))" for s, spans in first.items())
-    spans = spark.sql(f"select * from values {values} as t(src, spans)")
-    placed = ranked.join(F.broadcast(spans), "src").withColumn("sp", F.expr("filter(spans, x -> block >= x.lo and block < x.hi)[0]"))
-    placed = placed.selectExpr("row", "src", "rank", "block", "cast(sp.pattern as int) as pattern", "(block - sp.lo) % sp.a as j", "sp.slot + ((block - sp.lo) div sp.a) * sp.total as slot0")
-    slots = placed.join(F.broadcast(period_slots(spark, periods)), ["pattern", "src", "j"]).withColumn("slot", F.col("slot0") + F.col("offset"))
-    # the last block of a source may be short: places count the documents of all slots before
-    return slots.select("row", (F.col("slot") * cfg.block_docs + F.col("rank") % cfg.block_docs).alias("mix_pos"))
+    # at most max_sources rows; a literal, so no row passes through Python
+    known = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"src": s, "spans": x} for s, x in spans.items()])), SPANS)))
+    placed = ranked.join(F.broadcast(known), "src").withColumn("sp", F.expr("filter(spans, x -> block >= x.lo and block < x.hi)[0]"))
+    slot = F.expr("sp.slot + ((block - sp.lo) div sp.a) * sp.total + sp.slots[cast((block - sp.lo) % sp.a as int)]")
+    missing = F.from_json(F.lit(json.dumps([{"at": at, "n": n} for at, n in short if n])), "array<struct<at:bigint,n:bigint>>")
+    earlier = F.aggregate(missing, F.lit(0).cast("long"), lambda got, x: got + F.when(x["at"] < F.col("slot"), x["n"]).otherwise(0))
+    return placed.withColumn("slot", slot).select("row", (F.col("slot") * cfg.block_docs + F.col("rank") % cfg.block_docs - earlier).alias("mix_pos"), "slot")
 
 
 def mix_sources(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:

@@ -141,7 +141,9 @@ def score(docs: DataFrame, weights: np.ndarray, cfg: QualityConfig = QualityConf
 
 
 def accepted(docs: DataFrame, weights: np.ndarray, cfg: QualityConfig = QualityConfig()) -> DataFrame:
-    """The rows of docs whose own text scores at least the threshold, all columns kept."""
+    """The rows of docs whose own text scores at least the threshold, all columns kept; all rows if nothing was learned."""
+    if not weights.any():
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index("text")
 

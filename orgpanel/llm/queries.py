@@ -51,7 +51,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_order(_read(spark, sf_dir, "documents")).select("row.doc_id", "row.source", "mix_pos")
+    return mix_order(_read(spark, sf_dir, "documents"), keep=["doc_id", "source"]).select("row.doc_id", "row.source", "mix_pos")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

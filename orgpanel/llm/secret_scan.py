@@ -47,7 +47,7 @@ config configuration environment production development database connection http
 class SecretConfig:
     context: int = 48
     window: int = 512
-    novelty: float = 0.6
+    novelty: float = 0.8
 
 
 class Novelty:
@@ -122,9 +122,9 @@ def find_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFra
 
 
 def secret_digests(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFrame:
-    """The contract of op9."""
+    """The contract of op9, with the novelty of all spans."""
     base = f"filter(spans, x -> x.kind in {BASE})"
     joined = lambda spans: f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
     counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
     digest = F.sha2(F.expr(joined(base)).cast("binary"), 256).alias("base_sha256")
-    return find_secrets(docs, cfg).select("doc_id", *counts, digest, F.expr(joined("spans")).alias("spans"))
+    return find_secrets(docs, cfg).select("doc_id", *counts, digest, F.expr(joined("spans")).alias("spans"), F.expr("array_join(transform(spans, x -> format_number(x.novelty, 3)), ',')").alias("novelties"))

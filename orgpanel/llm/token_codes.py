@@ -25,11 +25,11 @@ an empty manifest and no rows.
 from __future__ import annotations
 
 import struct
+import threading
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
@@ -42,14 +42,17 @@ from orgpanel.storage import materialize, new_path
 
 MAGIC = b"DACT1\0\0\0"
 BLOCK = 512
+#: Characters of a piece that is remembered, and what an entry takes besides its characters and ids.
+LONGEST, ENTRY = 64, 160
 
 
 @dataclass(frozen=True)
 class TokenConfig:
     tokenizer: str | None = None
     end_id: int = 1
-    cache: int = 600_000
-    shard_tokens: int = 1 << 24
+    cache_bytes: int = 96 << 20
+    idle_seconds: float = 3.0
+    shard_tokens: int = 1 << 22
 
     def path(self) -> str:
         if self.tokenizer:
@@ -71,22 +74,22 @@ class Encoder(dict):
     more pieces equal, where every character is Latin-1 and no control string can occur. A piece of
     such lower-case letters alone is its own normal form and one word, so the library's
     model takes it directly; a last point or comma is a word of its own. All else goes through the
-    whole tokenizer. Two generations of at most ``limit / 2`` pieces are kept.
+    whole tokenizer. Two generations of pieces of at most ``limit / 2`` bytes are kept, none of more than ``LONGEST`` characters.
     """
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
-        self.whole, self.limit, self.old = Tokenizer.from_file(path), limit // 2, {}
+        self.whole, self.limit, self.old, self.size = Tokenizer.from_file(path), limit // 2, {}, 0
         self.model = self.whole.model
         odd = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173)]
         #: the byte-level alphabet: bytes that do not print get the letters from 256 on
         self.letters = {b: chr(256 + k) for k, b in enumerate(odd)}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > self.limit:
-            self.old = dict(self)
+        if self.size > self.limit:
+            self.old, self.size = dict(self), 0
             self.clear()
             self[""] = b""
         ids = self.old.get(piece)
@@ -101,7 +104,9 @@ class Encoder(dict):
                 ids = pack_ids([t.id for t in self.model.tokenize(word)])
             else:
                 ids = pack_ids(self.whole.encode(piece, add_special_tokens=False).ids)
-        self[piece] = ids
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+            self.size += len(piece) + len(ids) + ENTRY
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -114,10 +119,27 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=1)
-def encoder_of(path: str, limit: int) -> Encoder:
-    """One encoder for each Python worker: later tasks find the pieces of earlier ones."""
-    return Encoder(path, limit)
+#: The encoder of a Python worker, and the timer that drops it.
+_held: dict = {}
+
+
+def take_encoder(path: str, limit: int) -> Encoder:
+    """The encoder that the worker's last task left, with its pieces, or a new one."""
+    if timer := _held.pop("timer", None):
+        timer.cancel()
+    key, encoder = _held.get("encoder", (None, None))
+    if key != (path, limit):
+        encoder = Encoder(path, limit)
+    _held["encoder"] = (path, limit), encoder
+    return encoder
+
+
+def leave_encoder(seconds: float) -> None:
+    """Keep the encoder for the next task, unless none comes within some seconds: an idle worker holds nothing."""
+    timer = threading.Timer(seconds, _held.clear)
+    timer.daemon = True
+    _held["timer"] = timer
+    timer.start()
 
 
 def pack(docs: list[bytes]) -> bytes:
@@ -207,7 +229,7 @@ def write_tokens(docs: DataFrame, cfg: TokenConfig = TokenConfig(), order: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), encoder_of(path, cfg.cache)
+        part, encoder = TaskContext.get().partitionId(), take_encoder(path, cfg.cache_bytes)
         store, root = _store(folder)
         ids, held, size, seq = [], [], 0, 0
 
@@ -229,10 +251,13 @@ def write_tokens(docs: DataFrame, cfg: TokenConfig = TokenConfig(), order: list
                     ids, held, size, seq = [], [], 0, seq + 1
         if held:
             yield flush()
+        leave_encoder(cfg.idle_seconds)
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in order if c not in ("doc_id", "text")])
     dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "text").select("doc_id", "text")
-    manifest = materialize(dealt.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long, doc_ids array<long>"), "manifest")
+    written = dealt.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long, doc_ids array<long>")
+    # one small row for each file: few files of rows
+    manifest = materialize(written.repartition(2 * spark.sparkContext.defaultParallelism), "manifest")
     return manifest.withColumn("path", F.concat(F.lit(folder + "/"), "path"))
 
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or an exact round trip, and the hard rows that all must bear."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -66,6 +67,55 @@ def test_quality_holds_out(spark):
     assert sum(r.predicted == r.quality for r in held) / len(held) > 0.9
 
 
+def plain_features(text, bits):
+    """The sparse unit vector of a text, with plain integers."""
+    import xxhash
+
+    mask, odd = (1 << 64) - 1, int(quality.ODD)
+    one = [xxhash.xxh3_64_intdigest(t) for t in re.findall(quality.TOKEN, text or "")]
+    two = [int(quality.AGAIN) if a == b else (a * odd & mask) ^ (b + (a >> 29) & mask) for a, b in zip(one, one[1:])]
+    apart = [int(quality.APART) for a, b in zip(one, one[2:]) if a == b]
+    counts = Counter((h * odd & mask) >> (64 - bits) for h in [*one, *two, *apart])
+    values = {k: 1 + math.log(c) for k, c in counts.items()}
+    length = math.sqrt(sum(v * v for v in values.values()))
+    return {k: v / length for k, v in values.items()}
+
+
+def plain_ftrl(rows, cfg):
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        bias, push = i == 1 << cfg.bits, z[i]
+        if not bias and abs(push) <= cfg.l1:
+            return 0.0
+        shrink = 0 if bias else math.copysign(cfg.l1, push)
+        return -(push - shrink) / ((cfg.beta + math.sqrt(n[i])) / cfg.alpha + (0 if bias else cfg.l2))
+
+    for _ in range(cfg.epochs):
+        for x, y in rows:
+            x = x | {1 << cfg.bits: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / cfg.alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_equals_plain_arithmetic(spark, docs):
+    """Features, FTRL updates and scores against a version with dictionaries."""
+    cfg = quality.QualityConfig(bits=14)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    order = [r.doc_id for r in labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r.doc_id in known]
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 10000").collect()}
+    weights = plain_ftrl([({k: np.float32(v).item() for k, v in plain_features(texts[d], cfg.bits).items()}, known[d]) for d in order if d in texts], cfg)
+    for r, t in zip(*(lambda rows: (rows, [x.text for x in rows]))(quality.score(docs, quality.fit(docs, labels, cfg, quality.LEARN), cfg).join(docs.select("doc_id", "text"), "doc_id").where("doc_id < 10000").collect())):
+        logit = weights[1 << cfg.bits] + sum(weights.get(k, 0.0) * v for k, v in plain_features(t, cfg.bits).items())
+        assert abs(r.score - 1 / (1 + math.exp(-logit))) < 1e-4
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -221,7 +271,7 @@ def test_nearest(spark):
     bad = [(1000, None), (1020, [0.0] * 64), (1040, [float("nan")] * 64), (1060, [1.0] * 3), (1080, []), (1100, [None] * 64), (None, [1.0] * 64)]
     copies = v.where("vec_id = 40").select((F.col("vec_id") + 2000).alias("vec_id"), "embedding")
     rows = v.unionByName(spark.createDataFrame(bad, v.schema)).unionByName(copies).unionByName(v.where("vec_id = 7")).withColumn("rank", F.lit(1))
-    for cfg, least in ((ann.AnnConfig(leaf=32), 0.9), (ann.AnnConfig(leaf=32, block=16, shard=400, reach=9.0), 1.0)):
+    for cfg, least in ((ann.AnnConfig(leaf=32), 0.9), (ann.AnnConfig(leaf=32, block=16, shard=400, slice=7, reach=20.0), 1.0)):
         got = ann.nearest(rows, "vec_id % 20 = 0", cfg).collect()
         use = {r.vec_id: np.array(r.embedding, float) for r in v.unionByName(copies).collect()}
         ids = np.array(sorted(use))
@@ -242,6 +292,45 @@ def test_nearest(spark):
     assert ann.nearest(none_of(rows), "vec_id % 20 = 0").count() == 0
 
 
+def share_and_recall(points, cfg):
+    """Of the vectors that a query reads, and of its nearest among them."""
+    longest = (points * points).sum(axis=1).max()
+    entries = ann.lifted(points, longest)
+    forest = ann.Forest(entries[: cfg.sample], len(points), cfg)
+    leaves = forest.leaves(entries)
+    counts = np.array([np.bincount(x, minlength=1 << forest.depth) for x in leaves])
+    asked = np.arange(0, len(points), max(1, len(points) // 40))
+    queries = ann.lifted(points[asked])
+    read = hits = 0
+    for i, q, radius in zip(asked, queries, ann.radii(queries, entries[: cfg.sample], cfg.k)):
+        found = np.unique(np.concatenate([np.flatnonzero(leaves[t] == k) for t, k in forest.visit(q, counts, cfg.reach * len(points), radius)]))
+        score = points @ points[i]
+        score[i] = -np.inf
+        read, hits = read + len(found) / len(points), hits + len(set(np.argsort(-score)[: cfg.k]) & set(found))
+    return read / len(asked), hits / len(asked) / cfg.k
+
+
+def test_nearest_at_two_sizes():
+    """Recall of at least 0.9 without structure, at any size; in clusters the share that is read falls."""
+    rng, cfg = np.random.default_rng(5), ann.AnnConfig()
+    for rows in (1000, 8000):
+        flat = rng.normal(size=(rows, 64))
+        flat /= np.linalg.norm(flat, axis=1, keepdims=True)
+        share, recall = share_and_recall(flat, cfg)
+        assert recall >= 0.9 and share < 0.85
+        share, recall = share_and_recall(flat * rng.uniform(0.5, 2, (rows, 1)), cfg)
+        assert recall >= 0.9
+    shares = []
+    for rows in (1000, 8000):
+        centres = rng.normal(size=(rows // 50, 64))
+        points = centres[rng.integers(0, len(centres), rows)] + 0.02 * rng.normal(size=(rows, 64))
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+        share, recall = share_and_recall(points, cfg)
+        assert recall >= 0.9
+        shares.append(share)
+    assert shares[1] < shares[0] / 2
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a<|b <\\|c <\\\\| \\ \\n"), (1, 1, "assistant", "<|im_end|><|im_start|>assistant ok"), (1, 2, "assi\nst\\n", "x\n\ny<"), (2, 0, None, None), (2, None, "assistant", "é<|im_end|>\n"), (1, 3, "assistant", "<"), (None, 0, "user", "q"), (1, 3, "assistant", "<")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
@@ -258,11 +347,24 @@ def test_chat(spark):
 
 def test_chat_parts(spark):
     parts = [("text", "see <|image|>", None, None), ("image", None, "u1", 2), ("audio", None, "u2", None), ("pdf", None, "u3", 1)]
-    turns = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts {chat.PART}")
-    r = chat.format_chats(turns).first()
-    assert r.formatted == "<|im_start|>user\nsee <\\|image|><|image|><|audio|><|document|><|im_end|>\n"
-    assert [(a.place, a.type, a.uri, a.tokens) for a in r.attachments] == [(1, "image", "u1", 512), (2, "audio", "u2", 50), (3, "document", "u3", 512)]
-    assert r.media_tokens == 1074
+    answer = [("text", "so <|audio|>", None, None), ("text", "", None, None), ("audio", None, "u4", 3), ("text", "and\n<\\|", None, None), (None, None, "u5", None)]
+    turns = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", answer), (1, 2, "user", []), (1, 3, "user", None)], f"conv_id long, turn long, role string, parts {chat.PART}")
+    made = chat.format_chats(turns)
+    r = made.first()
+    assert r.formatted.startswith("<|im_start|>user\nsee <\\|image|><|image|><|audio|><|document|><|im_end|>\n")
+    assert [(a.place, a.type, a.uri, a.tokens) for a in r.attachments] == [(1, "image", "u1", 512), (2, "audio", "u2", 50), (3, "pdf", "u3", 512), (2, "audio", "u4", 150), (4, None, "u5", 512)]
+    assert r.media_tokens == 1736
+    back = chat.read_chats(made).first().turns
+    assert [[tuple(p) for p in t.parts] for t in back] == [parts, answer, [], []]
+    assert [t.loss for t in back] == ["", "so <|audio|>and\n<\\|", "", ""] and back[0].text == "see <|image|><|image|><|audio|><|document|>"
+
+
+def test_chat_long(spark):
+    """A very long text, and a conversation of many turns."""
+    rows = [(1, 0, "assistant", "a <| é" * 200_000)] + [(2, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(600)]
+    got = {r.conv_id: r for r in chat.chat_digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].loss_sha256 == hashlib.sha256(rows[0][3].encode()).hexdigest() and got[1].loss_chars == 1_200_000
+    assert got[2].loss_sha256 == hashlib.sha256("".join(f"t{k}" for k in range(1, 600, 2)).encode()).hexdigest() and got[2].n_turns == 600
 
 
 def test_licenses(docs, texts):
@@ -305,11 +407,13 @@ def test_licenses_in_usual_forms(spark):
 
 def test_mixing_deviates_less_than_a_block(docs):
     cfg = mixing.MixConfig(weights={"src1": 5, "src2": 3}, default=1, block_docs=2, range_docs=20)
-    got = sorted(((r.mix_pos, r.s, r.d) for r in mixing.mix_order(docs, cfg).select("mix_pos", F.col("row.source").alias("s"), F.col("row.doc_id").alias("d")).collect()), key=lambda r: r[0])
-    assert len({p for p, _, _ in got}) == len(got) == docs.count()
+    rows = mixing.mix_order(docs, cfg).select("mix_pos", "slot", F.col("row.source").alias("s"), F.col("row.doc_id").alias("d")).collect()
+    got = sorted(((r.mix_pos, r.s, r.d) for r in rows), key=lambda r: r[0])
+    assert [p for p, _, _ in got] == list(range(docs.count()))
     slots, seen = {}, Counter(s for _, s, _ in got)
-    for p, s, _ in got:
-        assert slots.setdefault(p // 2, s) == s
+    for r in sorted(rows, key=lambda r: r.mix_pos):
+        assert slots.setdefault(r.slot, r.s) == r.s
+    assert sorted(slots) == list(slots) == list(range(len(slots)))
     key = lambda s: "n" if s is None else "s" + s
     weight = {key(s): cfg.weights.get(s, 1) for s in seen}
     done, periods = Counter(), mixing.plan_periods({key(s): -(-n // 2) for s, n in seen.items()}, weight)
@@ -327,6 +431,17 @@ def test_mixing_deviates_less_than_a_block(docs):
     assert mixing.mix_order(none_of(docs)).count() == 0
 
 
+def test_mixing_many_sources(spark):
+    """As many sources as the bound allows, of uneven sizes; one more is an error."""
+    cfg = mixing.MixConfig(weights={"s3": 7, "s5": 40}, default=2, block_docs=2)
+    rows = [(k, f"s{s}", None) for k, s in enumerate(s for s in range(cfg.max_sources) for _ in range(1 + s % 7 * 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = sorted((r.mix_pos, r.source) for r in mixing.mix_order(docs, cfg, ["doc_id", "source"]).select("mix_pos", "row.source").collect())
+    assert [p for p, _ in got] == list(range(len(rows))) and Counter(s for _, s in got) == Counter(s for _, s, _ in rows)
+    with pytest.raises(ValueError):
+        mixing.mix_order(docs.unionByName(docs.limit(1).withColumn("source", F.lit("more"))), cfg)
+
+
 def luhn(digits):
     return sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(map(int, reversed(digits)))) % 10 == 0
 
@@ -358,6 +473,64 @@ def test_personal_data(docs, texts):
     assert pii.pii_digests(none_of(docs)).count() == 0
 
 
+def test_personal_data_method(spark):
+    """Planted spans of the wider kinds beside look-alikes: precision and recall of what is added, and of the posteriors alone."""
+    rng = np.random.default_rng(8)
+    names, last = ["Anna", "John", "Klaus", "Marie", "Luis", "Xaviera", "Ottokar"], ["Schmidt", "Miller", "Dupont", "Garcia", "Novak"]
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    digits = lambda n: "".join(map(str, rng.integers(2, 10, n)))
+    good = {
+        "natid": [lambda: ("her ssn is ", f"2{digits(2)}-{digits(2)}-{digits(4)}", " as stated"), lambda: ("social security ", f"3{digits(2)}-{digits(2)}-{digits(4)}", ".")],
+        "localphone": [lambda: ("call me at ", f"({digits(3)}) {digits(3)}-{digits(4)}", " tonight"), lambda: ("mobile ", f"{digits(3)}-{digits(3)}-{digits(4)}", ", or write")],
+        "spelledmail": [lambda: ("write to ", f"{pick(names).lower()}.{pick(last).lower()} (at) posthaus (dot) org", " soon"), lambda: ("my mail ", f"{pick(last).lower()}{digits(2)} [at] inbox [dot] net", " is full")],
+        "person": [lambda: ("we met ", f"Dr. {pick(names)} {pick(last)}", " there"), lambda: ("thanks to ", f"Mrs. {pick(names)} {pick(last)}", " for it")],
+    }
+    bad = [
+        lambda: ("see part no ", f"2{digits(2)}-{digits(2)}-{digits(4)}", " in the list"), lambda: ("order no ", f"000-{digits(2)}-{digits(4)}", " is late"), lambda: ("serial ", f"{digits(3)}-{digits(3)}-{digits(4)}", " of the pump"),
+        lambda: ("the isbn ", f"{digits(3)} {digits(3)} {digits(4)}", " was wrong"), lambda: ("at ", f"Dr. {pick(last)} Hospital", " they said"), lambda: ("on ", f"Mr. {pick(last)} Street", " it rained"), lambda: ("ticket ", f"1{digits(2)}.{digits(3)}.{digits(4)}", " closed"),
+    ]
+    rows, true = [], set()
+    for k in range(600):
+        kind = pick([*good]) if k % 2 else None
+        before, m, after = pick(good[kind] if kind else bad)()
+        lead = " ".join(f"w{int(x)}" for x in rng.integers(0, 50, 12)) + ". "
+        rows.append((k, lead + before + m + after + " end."))
+        if kind:
+            true.add((k, kind, len(lead + before), len(lead + before + m)))
+    rows += [(1000 + k, f"mail a{k}@b.org or call +49 30 1234{k:04d} now") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_pii(docs).collect()
+    added = {(r.doc_id, x.kind, x.start, x.end) for r in found for x in r.added}
+    assert len(added & true) / len(added) >= 0.95 and len(added & true) / len(true) >= 0.95
+    # votes alone, on all candidates: the classifier is not worse
+    by_votes = {(r.doc_id, x.kind, x.start, x.end) for r in pii.find_pii(docs, pii.PiiConfig(accept=0.0)).collect() for x in r.added if x.posterior >= 0.5}
+    f1 = lambda x: 2 * len(x & true) / (len(x) + len(true))
+    assert f1(added) >= f1(by_votes)
+    assert sum(x.kind in ("email", "phone") for r in found for x in r.base) == 400
+
+
+def test_secrets_method():
+    """Random strings in sensitive contexts beside look-alikes: precision and recall of what novelty adds."""
+    rng, cfg = np.random.default_rng(9), secret_scan.SecretConfig()
+    novelty, letters = secret_scan.Novelty(cfg), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    random_string = lambda n: "".join(letters[int(i)] for i in rng.integers(0, 62, n - 2)) + "x7"
+    words = ["configuration", "environment", "production", "database", "connection", "default", "authorization", "example", "client", "session", "service", "value"]
+    join = lambda sep, n: sep.join(words[int(i)] for i in rng.integers(0, len(words), n))
+    places = ["the key is {} now", "AUTH_KEY={} end", "credential: {}\nnext", "private key '{}', ok", "signature {} of it"]
+    alike = [lambda: join("_", 3) + "_1", lambda: "/" + join("/", 3) + "/v2", lambda: join("-", 3) + "-2024", lambda: "abcdefghijklmnopqrstuvwxyz0123456789", lambda: "x" * 24 + "1", lambda: "0123456789abcdefghij"]
+    filler = "def connect(host, port): return session(host=localhost, port=5432, user_name=admin) # default settings\n"
+    hits = wrong = total = 0
+    for k in range(200):
+        secret = random_string(int(rng.integers(20, 44))) if k % 2 else alike[k // 2 % len(alike)]()
+        text = filler * int(rng.integers(0, 4)) + places[k % len(places)].format(secret) + " " + filler
+        got = [text[s:e] for s, _, _, e in secret_scan.novel_spans(text, secret_scan.base_spans(text), novelty, cfg)]
+        if k % 2:
+            total, hits = total + 1, hits + (secret in got)
+        else:
+            wrong += bool(got)
+    assert hits / total >= 0.95 and wrong / (wrong + hits) <= 0.05
+
+
 def test_secrets(docs, texts):
     plain = [("assign", secret_scan.ASSIGN), ("access", secret_scan.ACCESS), ("hex", re.compile("[0-9a-f]+"))]
     got, want = secret_scan.secret_digests(docs).collect(), Counter()
@@ -395,11 +568,27 @@ def test_codes_round_trip():
     assert len(token_codes.Codes(token_codes.pack([])).starts) == 1
 
 
+def test_encoder_is_bounded_and_dropped():
+    import time
+
+    path = token_codes.TokenConfig().path()
+    one = token_codes.take_encoder(path, 20_000)
+    for k in range(3000):
+        one.ids(f"word{k} {'x' * 100}{k}")
+    kept = {**one, **one.old}
+    assert sum(len(k) + len(v) + token_codes.ENTRY for k, v in kept.items()) < 21_000 and max(map(len, kept)) <= token_codes.LONGEST
+    token_codes.leave_encoder(30)
+    assert token_codes.take_encoder(path, 20_000) is one
+    token_codes.leave_encoder(0.05)
+    time.sleep(0.5)
+    assert not token_codes._held
+
+
 def test_token_files(docs, texts):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(token_codes.TokenConfig().path())
-    for cfg in (token_codes.TokenConfig(), token_codes.TokenConfig(cache=50, shard_tokens=500)):
+    for cfg in (token_codes.TokenConfig(), token_codes.TokenConfig(cache_bytes=9000, shard_tokens=500, idle_seconds=0.0)):
         got = sorted(token_codes.read_tokens(token_codes.write_tokens(docs, cfg)).collect(), key=lambda r: r.start)
         order, start = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1])), 0
         assert [r.doc_id for r in got] == [d for d, _ in order]
@@ -424,7 +613,8 @@ def test_pipeline(spark, docs, texts):
         elif name == "decontaminate":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             bad = {d for d, _ in brute_leaks([x for x in before if x[0] is not None], items, decontam.DecontamConfig())}
-            assert Counter(kept) == Counter(x for x in before if x[0] not in bad)
+            gone = {t for d, t in before if d in bad}
+            assert Counter(kept) == Counter(x for x in before if x[1] not in gone)
         elif name == "mixture":
             assert Counter(kept) == Counter(before)
         docs = after
@@ -432,6 +622,24 @@ def test_pipeline(spark, docs, texts):
     assert [r.doc_id for r in out] == [r.doc_id for r in docs.orderBy("_metadata.file_name", "_metadata.row_index").collect()]
 
 
+def test_pipeline_run(spark, docs, tmp_path):
+    """run() over empty tables, and over documents with further columns and hard rows."""
+    tables = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels", "benchmark")}
+    for name, df in tables.items():
+        df.where("false").write.parquet(f"file://{tmp_path}/none/{name}.parquet")
+    none = corpus_pipeline.run(spark, f"file://{tmp_path}/none")
+    assert none.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and none.count() == 0
+    docs.write.parquet(f"file://{tmp_path}/some/documents.parquet")
+    tables["labels"].write.parquet(f"file://{tmp_path}/some/labels.parquet")
+    tables["benchmark"].where("false").write.parquet(f"file://{tmp_path}/some/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}/some").orderBy("start").collect()
+    assert out and len({(r.doc_id, r.start) for r in out}) == len(out)
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(out, out[1:]))
+    # without labels nothing is known against a document
+    tables["labels"].where("false").write.parquet(f"file://{tmp_path}/unlabelled/labels.parquet")
+    assert corpus_pipeline.quality(spark, docs, f"file://{tmp_path}/unlabelled").count() == docs.count()
+
+
 def test_pipeline_quality_by_row(spark, docs):
     """Rows without a doc_id and rows that repeat one are each judged by their own text."""
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
