@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+#: Paths of the tables written since each open block began.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized within the block go when it ends, but for those marked ``keep``."""
+    _open.append(paths := [])
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            remove(spark, path)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, small: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, small: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     ``small`` is for tables of a few integers a row: at most two files for each core, as a file costs more than its rows.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _open and not keep:
+        _open[-1].append(path)
     (df.coalesce(2 * spark.sparkContext.defaultParallelism) if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
