@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from orgpanel.llm.common import small_side
 from orgpanel.operators.components import connected_components
-from orgpanel.storage import discard, materialize
+from orgpanel.storage import materialize, temporary
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -382,13 +382,8 @@ def _outside_links(sets: DataFrame, links: DataFrame, large: DataFrame, sketch,
     return materialize(trie_links(index.select(columns).unionAll(probes.select(columns)), sketch, cfg), "links")
 
 
-def jaccard_rows(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """doc_id, mark (a hash of the text), n_shingles and component_id for every row of docs."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    sketch = spark.sparkContext.broadcast(count_sketch(docs, cfg))
-    # the number of a row is fixed by the written table
-    heads = materialize(prefixes(docs, sketch, cfg).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+def _answers(docs: DataFrame, heads: DataFrame, sketch, cfg: JaccardConfig) -> DataFrame:
+    """digest and component_id of all sets that occur more than once or are linked, written."""
     # broadcast if small, else a class of very many copies can be split between tasks
     classes = heads.where("n > 0").groupBy("digest").agg(F.min(F.expr("if(doc_id is null, null, row)")).alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
     classes = materialize(classes, "classes", small=True)
@@ -416,8 +411,18 @@ def jaccard_rows(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataF
     lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
     answers = linked.join(lows, "component").select("digest", "component_id")
     answers = answers.unionAll(classes.join(linked.select("digest"), "digest", "left_anti").select("digest", "low"))
-    answers = small_side(materialize(answers, "components", small=True))
-    discard(sets)
+    return materialize(answers, "components", small=True, keep=True)
+
+
+def jaccard_rows(docs: DataFrame, cfg: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles and component_id for every row of docs."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    sketch = spark.sparkContext.broadcast(count_sketch(docs, cfg))
+    # the number of a row is fixed by the written table
+    heads = materialize(prefixes(docs, sketch, cfg).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    with temporary(spark):
+        answers = small_side(_answers(docs, heads, sketch, cfg))
     out = heads.select("doc_id", "mark", "n", "digest").join(answers, "digest", "left")
     return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
