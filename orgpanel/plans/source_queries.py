@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from orgpanel.functions import registered, similarity
 from orgpanel.functions.ids import prune_number
+from orgpanel.operators import clusters, panel
 from orgpanel.plans import pipeline, samples
 from orgpanel.plans.source_rows import ROWS
-from orgpanel.sources import flat, patents, records
-from orgpanel.storage import new_path, put_file
+from orgpanel.sources import fetch, flat, patents, records
+from orgpanel.storage import materialize, new_path, put_file
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -222,3 +223,55 @@ def long_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of eight digits, and those of maintenance files."""
     raw = spark.createDataFrame([("0010000001",), ("RE0350001",), ("10000001",), ("x1234567890",), ("",), (None,)], "raw string")
     return raw.select("raw", prune_number(F.col("raw"), 8).alias("eight"), prune_number(F.lower("raw"), 13).alias("maint"))
+
+
+@query
+def chosen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the name sources that a request stands for, in order of the registry."""
+    asked = {"default": None, "one": "compustat", "both parties": ["assign"], "mixed": ["grant", "assignee", "apply"], "all": list(clusters.NAME_SOURCES)}
+    rows = [(k, place, t) for k, v in asked.items() for place, t in enumerate(clusters.choose_sources(v))]
+    return spark.createDataFrame(rows, "asked string, place long, tag string")
+
+
+@query
+def fetch_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of archives fetched and unpacked: a dry run, a first one, a repeat, and one that overwrites; one address fails."""
+    from io import BytesIO
+    from pathlib import Path
+    from urllib.parse import urlparse
+    from zipfile import ZipFile
+
+    top, packed, seen = new_path(spark, "fetch"), BytesIO(), []
+    with ZipFile(packed, "w") as z:
+        z.writestr("inner.txt", "hello")
+    put_file(spark, f"{top}/from/one.zip", packed.getvalue())
+    here = Path(urlparse(top).path)
+    put_file(spark, f"{top}/list.txt", f"{here.as_uri()}/from/one.zip\n\n  {here.as_uri()}/from/none.zip \n".encode())
+    urls = fetch.manifest(here / "list.txt")
+    for step, options in {"dry": {"dryrun": True}, "first": {}, "again": {}, "overwrite": {"overwrite": True}}.items():
+        tried = fetch.fetch_many(urls, here / "to", delay=0, **options)
+        files = sorted(f.name for f in (here / "to").iterdir()) if (here / "to").exists() else []
+        seen.append((step, len(urls), tried, ",".join(f for f in files if not f.startswith("."))))
+    return spark.createDataFrame(seen, "step string, listed long, tried long, files string")
+
+
+@query
+def panel_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From sample files to the panel by all verbs, and again after a file was added: global stages are done anew."""
+    top, out = _folder(spark, *samples.FILES), None
+    for late in ((), ("grant/ipgb2.xml", "apply/pab2.xml")):
+        for name in late:
+            put_file(spark, f"{top}/raw/{name}", samples.MORE[name].encode("latin-1"))
+        for kind in pipeline.PARSERS:
+            pipeline.parse(spark, kind, f"{top}/raw/{kind}", f"{top}/tables")
+        pipeline.assign(spark, f"{top}/tables")
+        pipeline.cluster(spark, f"{top}/tables", ["grant", "apply", "assign", "compustat"])
+        pipeline.cites(spark, f"{top}/tables")
+        pipeline.merge(spark, f"{top}/tables", compustat=True)
+        names = pipeline.read_table(spark, f"{top}/tables", "name").join(pipeline.read_table(spark, f"{top}/tables", "firm"), "id")
+        rows = pipeline.read_table(spark, f"{top}/tables", "firmyear_index").join(names.groupBy("firm_num").agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("names")), "firm_num")
+        made = rows.select(F.lit(len(late)).alias("late"), "names", "year", "age", "stock", *panel.COUNTS, "assets", "mktval", "naics")
+        # years in which nothing happened stand in the table, not here
+        made = materialize(made.where(" + ".join(panel.COUNTS) + " > 0 or assets is not null"), "panel")
+        out = made if out is None else out.unionByName(made)
+    return out

@@ -207,4 +207,53 @@ ROWS = {
             (None, None, None),
         ],
     ),
+    "chosen_sources": (
+        "asked VARCHAR, place BIGINT, tag VARCHAR",
+        [
+            ('all', 0, 'apply'),
+            ('all', 1, 'grant'),
+            ('all', 2, 'assignor'),
+            ('all', 3, 'assignee'),
+            ('all', 4, 'compustat'),
+            ('both parties', 0, 'assignor'),
+            ('both parties', 1, 'assignee'),
+            ('default', 0, 'apply'),
+            ('default', 1, 'grant'),
+            ('default', 2, 'assignor'),
+            ('default', 3, 'assignee'),
+            ('mixed', 0, 'apply'),
+            ('mixed', 1, 'grant'),
+            ('mixed', 2, 'assignee'),
+            ('one', 0, 'compustat'),
+        ],
+    ),
+    "fetch_archives": (
+        "step VARCHAR, listed BIGINT, tried BIGINT, files VARCHAR",
+        [
+            ('again', 2, 1, 'inner.txt,one.zip'),
+            ('dry', 2, 2, ''),
+            ('first', 2, 2, 'inner.txt,one.zip'),
+            ('overwrite', 2, 2, 'inner.txt,one.zip'),
+        ],
+    ),
+    "panel_from_files": (
+        "late INTEGER, names VARCHAR, year BIGINT, age BIGINT, stock BIGINT, n_apply BIGINT, n_grant BIGINT, n_cited BIGINT, n_citing BIGINT, n_self_cited BIGINT, n_source BIGINT, n_dest BIGINT, assets DOUBLE, mktval DOUBLE, naics VARCHAR",
+        [
+            (0, 'second corp', 1976, 0, 0, 0, 1, 2, 0, 0, 0, 0, None, None, None),
+            (0, 'second corp', 2000, 24, 1, 1, 0, 0, 0, 0, 0, 0, None, None, None),
+            (0, 'second corp', 2010, 34, 1, 0, 0, 0, 0, 0, 2, 0, None, None, None),
+            (0, 'second corporation', 2018, 0, 0, 0, 1, 1, 0, 0, 0, 0, None, None, None),
+            (0, 'zyx gmbh', 2010, 0, 0, 0, 0, 0, 0, 0, 0, 2, None, None, None),
+            (0, 'zyx gmbh', 2017, 7, 1, 1, 0, 0, 0, 0, 0, 0, None, None, None),
+            (0, 'zyx gmbh', 2018, 8, 1, 0, 0, 0, 0, 0, 0, 0, 5.0, 6.0, '334000'),
+            (2, 'acme gears ltd', 2006, 0, 0, 0, 1, 1, 0, 0, 0, 0, None, None, None),
+            (2, 'second corp', 1976, 0, 0, 0, 1, 2, 0, 0, 0, 0, None, None, None),
+            (2, 'second corp', 2000, 24, 1, 1, 0, 0, 0, 0, 0, 0, None, None, None),
+            (2, 'second corp', 2010, 34, 1, 0, 0, 0, 0, 0, 2, 0, None, None, None),
+            (2, 'second corporation', 2018, 0, 0, 0, 1, 1, 0, 0, 0, 0, None, None, None),
+            (2, 'zyx gmbh', 2010, 0, 0, 0, 0, 0, 0, 0, 0, 2, None, None, None),
+            (2, 'zyx gmbh', 2017, 7, 1, 1, 0, 0, 0, 0, 0, 0, None, None, None),
+            (2, 'zyx gmbh', 2018, 8, 1, 0, 0, 0, 0, 0, 0, 0, 5.0, 6.0, '334000'),
+        ],
+    ),
 }
