@@ -12,7 +12,7 @@ and the others go on with their weights. So there are at most two
 kinds for each source, and the plan has at most 2 ``max_sources`` squared entries. Every document gets
 exactly one place from 0 without gaps; none is dropped or repeated.
 
-Ranks within a source come from ranges of a hash of the row: each (source, range) is numbered on its own
+Ranks within a source come from ranges of a hash of the row, of about ``range_docs`` rows each: each (source, range) is numbered on its own
 and offset by the counts before it, in two steps of about the square root of their number, so a source that holds a third of all rows is numbered by many
 tasks. Only DataFrame and SQL functions run on rows, and only hashes and the columns asked for are shuffled.
 
@@ -33,6 +33,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orgpanel.storage import materialize
+
 
 @dataclass(frozen=True)
 class MixConfig:
@@ -40,7 +42,7 @@ class MixConfig:
     default: int = 2
     block_docs: int = 16
     max_sources: int = 512
-    range_docs: int = 1_000
+    range_docs: int = 100
 
 
 def plan_periods(blocks: dict[str, int], weight: dict[str, int]) -> list[tuple[int, int, int, dict[str, int]]]:
@@ -99,7 +101,7 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-SPANS = "array<struct<src:string,spans:array<struct<lo:bigint,hi:bigint,a:bigint,slot:bigint,total:bigint,slots:array<bigint>>>>>"
+SPANS = "array<struct<lo:bigint,hi:bigint,a:bigint,slot:bigint,total:bigint,slots:array<bigint>>>"
 
 
 def mix_order(docs: DataFrame, cfg: MixConfig = MixConfig(), keep: list[str] | None = None) -> DataFrame:
@@ -119,10 +121,14 @@ def mix_order(docs: DataFrame, cfg: MixConfig = MixConfig(), keep: list[str] | N
     # the last block of a source may be short; all that come later move up
     short = sorted((slot_of(spans[r.src], blocks[r.src] - 1), blocks[r.src] * cfg.block_docs - r.n) for r in counts)
 
-    ranges = max(1, sum(r.n for r in counts) // cfg.range_docs)
-    width, wide = (1 << 64) // ranges + 1, math.isqrt(ranges) + 1
-    rows = rows.withColumn("part", F.expr(f"cast((cast(h as decimal(20,0)) + 9223372036854775808) div {width} as int)"))
-    sizes = rows.groupBy("src", "part").agg(F.count("*").alias("n")).withColumn("top", F.expr(f"part div {wide}"))
+    # at most max_sources rows each; literals, so no row passes through Python
+    table = lambda rows, kind: docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
+    ranges = {r.src: max(1, r.n // cfg.range_docs) for r in counts}
+    cuts = table([{"src": s, "width": str((1 << 64) // n + 1), "wide": math.isqrt(n) + 1} for s, n in ranges.items()], "src:string,width:decimal(20,0),wide:bigint")
+    known = table([{"src": s, "spans": x} for s, x in spans.items()], f"src:string,spans:{SPANS}")
+    rows = rows.join(F.broadcast(cuts), "src").withColumn("part", F.expr("cast((cast(h as decimal(20,0)) + 9223372036854775808) div width as bigint)"))
+    sizes = rows.groupBy("src", "part").agg(F.count("*").alias("n"), F.first(F.expr("part div wide")).alias("top"))
+    sizes, rows = materialize(sizes, "ranges"), rows.drop("width", "wide")
     tops = sizes.groupBy("src", "top").agg(F.sum("n").alias("n"))
     before = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("src", "top", F.coalesce(F.sum("n").over(before("src").orderBy("top")), F.lit(0)).alias("high"))
@@ -132,8 +138,6 @@ def mix_order(docs: DataFrame, cfg: MixConfig = MixConfig(), keep: list[str] | N
     ranked = rows.withColumn("k", number).join(offsets, ["src", "part"]).withColumn("rank", F.col("base") + F.col("k") - 1)
     ranked = ranked.withColumn("block", F.expr(f"rank div {cfg.block_docs}"))
 
-    # at most max_sources rows; a literal, so no row passes through Python
-    known = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"src": s, "spans": x} for s, x in spans.items()])), SPANS)))
     placed = ranked.join(F.broadcast(known), "src").withColumn("sp", F.expr("filter(spans, x -> block >= x.lo and block < x.hi)[0]"))
     slot = F.expr("sp.slot + ((block - sp.lo) div sp.a) * sp.total + sp.slots[cast((block - sp.lo) % sp.a as int)]")
     missing = F.from_json(F.lit(json.dumps([{"at": at, "n": n} for at, n in short if n])), "array<struct<at:bigint,n:bigint>>")
