@@ -37,11 +37,11 @@ from orgpanel.storage import materialize
 class AnnConfig:
     k: int = 20
     trees: int = 8
-    leaf: int = 64
+    leaf: int = 128
     sample: int = 16_384
     reach: float = 1.4
     block: int = 4096
-    shard: int = 65_536
+    shard: int = 32_768
     slice: int = 4096
     seed: int = 7
 
@@ -189,6 +189,7 @@ def nearest(vectors: DataFrame, query: str, cfg: AnnConfig = AnnConfig()) -> Dat
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         x = x.sort_values("code", kind="stable")
         base, ids, vectors, asked = np.array(x.v.tolist()), x.ids.tolist(), np.array(q.v.tolist()), q.query_id.to_numpy(np.int64)
+        entry = np.array([i[0] for i in ids], np.int64)
         codes, first = np.unique(x.code.to_numpy(), return_index=True)
         last = np.append(first[1:], len(x))
         visits = np.concatenate(q.codes.tolist())
@@ -196,21 +197,39 @@ def nearest(vectors: DataFrame, query: str, cfg: AnnConfig = AnnConfig()) -> Dat
         order = np.argsort(visits, kind="stable")
         visits, by = visits[order], by[order]
         lo, hi = np.searchsorted(visits, codes), np.searchsorted(visits, codes, side="right")
-        out_q, out_e, out_s = [], [], []
+        keep = cfg.k + 1  # the query itself may be among them
+        floor = np.full(len(q), -np.inf)
+        held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The best entries of each query among those held; what is worse than all of them need not be held again."""
+            who, at, score = (np.concatenate(c) for c in zip(*held))
+            o = np.lexsort((entry[at], who))
+            new = np.ones(len(o), bool)
+            new[1:] = (who[o][1:] != who[o][:-1]) | (entry[at[o]][1:] != entry[at[o]][:-1])
+            who, at, score = who[o[new]], at[o[new]], score[o[new]]
+            o = np.lexsort((entry[at], -score, who))
+            who, at, score = who[o], at[o], score[o]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            full = place == keep - 1
+            floor[who[full]] = score[full] - 1e-9
+            return who[place < keep], at[place < keep], score[place < keep]
+
+        size = 0
         for a, z, f, e in zip(lo, hi, first, last):
             for at in range(a, z, 1024):
                 who = by[at : min(z, at + 1024)]
                 s = vectors[who] @ base[f:e].T
-                k = min(cfg.k + 1, e - f)  # the query itself may be among them
-                floor = np.partition(s, e - f - k, axis=1)[:, e - f - k]
-                i, j = np.nonzero(s >= floor[:, None])
-                out_q.append(who[i])
-                out_e.append(j + f)
-                out_s.append(s[i, j])
-        who, entry, score = np.concatenate(out_q or [[]]).astype(int), np.concatenate(out_e or [[]]).astype(int), np.concatenate(out_s or [[]])
-        many = np.array([len(i) for i in ids])
-        made = pd.DataFrame({"query_id": np.repeat(asked[who], many[entry]), "vec_id": np.concatenate([ids[i] for i in entry] or [[]]).astype(np.int64), "score": np.repeat(score, many[entry])})
-        made = made[made.query_id != made.vec_id].drop_duplicates(["query_id", "vec_id"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                i, j = np.nonzero(s >= floor[who][:, None])
+                held.append((who[i], j + f, s[i, j]))
+                size += len(i)
+                if size > 1 << 20:
+                    held = [best()]
+                    size = 0
+        who, at, score = best()
+        many = np.array([len(i) for i in ids])[at] if len(at) else np.empty(0, np.int64)
+        made = pd.DataFrame({"query_id": np.repeat(asked[who], many), "vec_id": np.concatenate([ids[i] for i in at] or [[]]).astype(np.int64), "score": np.repeat(score, many)})
+        made = made[made.query_id != made.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return made.groupby("query_id").head(cfg.k)
 
     near = probes.groupBy("shard", "slice").cogroup(index.groupBy("shard", "slice")).applyInPandas(rerank, "query_id long, vec_id long, score double")
