@@ -9,6 +9,7 @@ from pathlib import Path
 
 from orgpanel.plans import pipeline
 from orgpanel.sources.fetch import fetch_many, manifest
+from orgpanel.storage import clear_scratch
 
 
 def arguments(argv: list[str] | None) -> argparse.Namespace:
@@ -48,10 +49,12 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         listed = a.files or f"{a.metadir}/{a.kind}_files.txt"
         fetch_many(manifest(listed), Path(a.datadir) / "raw" / a.kind, a.delay, a.dryrun, overwrite=a.overwrite, unzip=a.unzip)
     else:
+        made = None
         if spark is None:
             from pyspark.sql import SparkSession
 
             spark = SparkSession.builder.appName("orgpanel").getOrCreate()
+            made = spark
         if a.verb == "parse":
             pipeline.parse(spark, a.kind, a.files or a.path or f"{a.datadir}/raw/{a.kind}", tables, a.dryrun, a.overwrite, tuple(a.formats) if a.formats else None)
         elif a.action == "cluster":
@@ -60,6 +63,8 @@ def main(argv: list[str] | None = None, spark=None) -> None:
             pipeline.merge(spark, tables, a.compustat)
         else:
             pipeline.FIRMS[a.action](spark, tables)
+        if made:
+            clear_scratch(made)
 
 
 if __name__ == "__main__":

@@ -45,6 +45,11 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables that this application has left in the shared folder; results that still read them are lost."""
+    remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
