@@ -47,7 +47,8 @@ def temporary(spark: SparkSession) -> Iterator[None]:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all tables that this application has left in the shared folder; results that still read them are lost."""
-    remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    if spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING):
+        remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
