@@ -24,6 +24,7 @@ an empty manifest and no rows.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import threading
 import uuid
@@ -134,9 +135,19 @@ def take_encoder(path: str, limit: int) -> Encoder:
     return encoder
 
 
+def _drop_encoder() -> None:
+    """Free the encoder, and give the memory back to the system where its library can."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def leave_encoder(seconds: float) -> None:
     """Keep the encoder for the next task, unless none comes within some seconds: an idle worker holds nothing."""
-    timer = threading.Timer(seconds, _held.clear)
+    timer = threading.Timer(seconds, _drop_encoder)
     timer.daemon = True
     _held["timer"] = timer
     timer.start()
