@@ -407,8 +407,9 @@ def _answers(docs: DataFrame, heads: DataFrame, sketch, cfg: JaccardConfig) -> D
         links = links.unionAll(_outside_links(sets, links, small_side(materialize(large, "large", small=True)), sketch, cfg))
 
     joined = connected_components(links).toDF("doc", "component")
-    linked = clusters.select("doc", "digest", "low").join(joined, "doc")
-    lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    linked = materialize(clusters.select("doc", "digest", "low").join(joined, "doc"), "linked", small=True)
+    # a component of very many sets has one row here
+    lows = small_side(materialize(linked.groupBy("component").agg(F.min("low").alias("component_id")), "lows", small=True))
     answers = linked.join(lows, "component").select("digest", "component_id")
     answers = answers.unionAll(classes.join(linked.select("digest"), "digest", "left_anti").select("digest", "low"))
     return materialize(answers, "components", small=True, keep=True)
